@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadflow.llm.bytetext import ALNUM, Words, blocks
+from dyadflow.llm.rows import without
 from dyadflow.session import table
 
 WINDOW = 10
@@ -137,8 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, without those in which any window of the benchmark occurs."""
-    hit = contamination(docs, benchmark, window).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    return without(docs, contamination(docs, benchmark, window).where("n_hit > 0"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadflow.llm.bytetext import NOT_SPACE, Words, blocks
+from dyadflow.llm.rows import without
 from dyadflow.session import cut, table
 
 STATISTICS = ("words", "word_length", "upper", "symbols", "bars", "shouts", "digits", "stops", "beyond_ascii", "distinct", "top_word", "twice", "trigrams_again", "lines")
@@ -189,8 +190,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that the classifier doesn't reject."""
-    bad = quality_scores(docs, labels).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    return without(docs, quality_scores(docs, labels).where("predicted = 0"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dyadflow.llm import chat, decontaminate, html, lines, mixing, phrases, quality, shards, toxicity
+from dyadflow.llm import chat, decontaminate, html, lines, mixing, near, phrases, quality, shards, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_ngram_jaccard": near.op3_ngram_jaccard,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_sharding": shards.op5_sharding,
     "op6_html": html.op6_html,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,
+    "op3_ngram_jaccard": near.OP3_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op10_chat": chat.OP10_SQL,
 }
