@@ -1 +1,3 @@
+"""The registered queries."""
 
+from dyadflow.plans import coupling, sequences  # noqa: F401
