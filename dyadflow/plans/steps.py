@@ -43,10 +43,10 @@ numbered AS (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY pos) AS run
 runs AS (SELECT session_id, cast(run AS BIGINT) AS run, {value} AS v, min(pos) AS a, max(pos) + 1 AS b, count(*) AS n FROM numbered GROUP BY ALL)"""
 
 
-#: CTEs that end in ep(episode, session_id, dyad_id, regime, a, b, duration) and eps (the steps inside, with at).
+#: CTEs that end in ep(episode, session_id, dyad_id, regime, a, b, duration) and eps (the steps inside, with q, the position inside).
 EPISODES = f"""{STEPS}, {runs_sql("regime")},
 ep AS (SELECT session_id || '_' || v || '_' || a || '_' || b AS episode, session_id, session_id % 10 AS dyad_id, v AS regime, a, b, n AS duration FROM runs WHERE n >= 5),
-eps AS (SELECT ep.*, pos, pos - a AS at, x, th, cl FROM ep JOIN steps ON steps.session_id = ep.session_id AND pos >= a AND pos < b)"""
+eps AS (SELECT ep.*, pos, pos - a AS q, x, th, cl FROM ep JOIN steps ON steps.session_id = ep.session_id AND pos >= a AND pos < b)"""
 
 
 def r6(x: str) -> str:
