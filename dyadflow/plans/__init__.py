@@ -1,3 +1,3 @@
 """The registered queries."""
 
-from dyadflow.plans import coupling, patterns, sequences  # noqa: F401
+from dyadflow.plans import coupling, patterns, relations, sequences, statistics  # noqa: F401
