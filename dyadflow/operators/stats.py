@@ -133,8 +133,13 @@ def positive_effect(df: DataFrame, x: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.sum((F.col("v") > 0).cast("long")).alias("n_pos"), F.avg((F.col("v") > 0).cast("double")).alias("frac_pos"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Null where either has no spread."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(correlation(x, y).alias("r"), F.count("*").alias("n"))
     return _correlation_p(d, "r")
 
 
@@ -148,7 +153,7 @@ def spearman(df: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
     """rho, n and p; null with fewer than `least` rows."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = average_ranks(average_ranks(d, x, "__rx", "__tx"), y, "__ry", "__ty")
-    out = d.agg(F.corr("__rx", "__ry").alias("rho"), F.count("*").alias("n")).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
+    out = d.agg(correlation("__rx", "__ry").alias("rho"), F.count("*").alias("n")).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
     return _correlation_p(out, "rho")
 
 
@@ -173,8 +178,9 @@ def bh_fdr(df: DataFrame, p: str, *by: str, alpha: float = 0.05) -> DataFrame:
 
 def ols_slopes(df: DataFrame, x: str, y: str, *by: str, least: int = 3) -> DataFrame:
     """by, n, slope and intercept, of groups with enough rows and some spread in both."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.stddev_pop(x).alias("__sx"), F.stddev_pop(y).alias("__sy"))
-    return d.where((F.col("n") >= least) & (F.col("__sx") > 0) & (F.col("__sy") > 0)).drop("__sx", "__sy")
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), (F.covar_pop(y, x) / F.nullif(F.var_pop(x), F.lit(0.0))).alias("slope"), F.avg(x).alias("__mx"), F.avg(y).alias("__my"), F.stddev_pop(x).alias("__sx"), F.stddev_pop(y).alias("__sy"))
+    d = d.where((F.col("n") >= least) & (F.col("__sx") > 0) & (F.col("__sy") > 0))
+    return d.withColumn("intercept", F.col("__my") - F.col("slope") * F.col("__mx")).drop("__sx", "__sy", "__mx", "__my")
 
 
 def slope_summary(slopes: DataFrame) -> DataFrame:
