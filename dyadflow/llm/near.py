@@ -5,12 +5,15 @@ order of elements (the prefix filter), so those elements are the tree's cells: l
 elements that many documents share last; that is a hint, of bounded size, which only keeps cells small.
 
 1. Cells: packed (element, node) pairs are dealt by element, and those of elements that only one node has are left there.
-   Elements known to be common skip that step, as they'd meet in one task.
+   Elements known to be common skip that step, as they'd meet in one task. Of cells with the same nodes one stays.
 2. Collapse: each node is held against the one node that shares most cells with it and comes first in them, so that large
    groups of near copies become a few classes without pairs between all their members.
 3. Join: cells in which more than one class is left get an R-tree over count vectors (CountTree); nodes outside the cell's
    largest class are searched for in it. A cell's tree is built in chunks, each its own group, so none outgrows a task.
 4. Pairs whose bound holds, from 2 and from 3, are verified on the whole sets; components of the verified pairs follow.
+
+A set of n has a count vector of about n / 8 groups: with fewer, all vectors of a size look alike. Numbers of groups are
+powers of two, so a vector folds to the next smaller number, and sizes that can link are one step apart at most.
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ from dyadflow.llm.rows import BROADCAST_IDS, without
 from dyadflow.llm.rtree import CountTree
 from dyadflow.session import cut, shared_dir, table
 
-WIDTH, PERCENT, GROUPS = 5, 80, 64
+WIDTH, PERCENT, LEAST_GROUPS, PER_GROUP = 5, 80, 64, 8
 #: Elements that count as common: so many times in a block of prefixes, in all, and at most.
 COMMON_HERE, COMMON, MAX_COMMON = 4, 32, 1 << 20
-#: Rows of a cell in one tree.
-CHUNK = 4096
+#: Rows of a cell in one tree, and pairs of a node in one task of the verification.
+CHUNK, MEMBERS = 4096, 256
 _FLUSH = 1 << 20
 
 
@@ -63,6 +66,22 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
                 yield runs[:0]
 
 
+def count_vector(s: np.ndarray) -> np.ndarray:
+    groups = max(LEAST_GROUPS, 1 << (-(-len(s) // PER_GROUP) - 1).bit_length())
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(v: np.ndarray, groups: int) -> np.ndarray:
+    """The vector with fewer groups: a group's number loses its high bits."""
+    return v.reshape(-1, groups).sum(0) if len(v) > groups else v
+
+
+def bound(v: np.ndarray, w: np.ndarray) -> int:
+    """The sum of smaller counts: no two sets with these vectors share more."""
+    groups = min(len(v), len(w))
+    return int(np.minimum(folded(v, groups), folded(w, groups)).sum())
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -134,7 +153,7 @@ def _described(width: int, salt: int):
                 n.append(len(s))
                 node.append(a)
                 check.append(b)
-                counts.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() if len(s) else None)
+                counts.append(count_vector(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "n", "node", "check", "counts"])
 
     return run
@@ -209,6 +228,31 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out(pairs[~(first[:-1] & first[1:])])
 
 
+class Cell:
+    """Points of one cell in trees by their number of groups."""
+
+    def __init__(self, points: list[np.ndarray], percent: int):
+        self.percent, self.points = percent, points
+        self.at: dict[int, np.ndarray] = {}
+        for g in sorted({len(p) for p in points}):
+            self.at[g] = np.array([i for i, p in enumerate(points) if len(p) == g])
+        self.trees: dict[tuple[int, int], CountTree] = {}
+
+    def tree(self, own: int, groups: int) -> CountTree:
+        if (own, groups) not in self.trees:
+            self.trees[own, groups] = CountTree(np.stack([folded(self.points[i], groups) for i in self.at[own]]).astype(np.int64), self.percent)
+        return self.trees[own, groups]
+
+    def search(self, q: np.ndarray) -> np.ndarray:
+        """The points whose bound with q allows a link; those two or more steps of groups away are too far in size."""
+        out = [np.zeros(0, np.int64)]
+        for own in (len(q) // 2, len(q), 2 * len(q)):
+            if own in self.at:
+                groups = min(own, len(q))
+                out.append(self.at[own][self.tree(own, groups).search(folded(q, groups).astype(np.int64))])
+        return np.concatenate(out)
+
+
 def _search_cells(percent: int):
     """Over (element, chunk, node, comp, query, counts) in order of element and chunk: pairs of nodes in different classes
     whose bound holds. A group's rows are a chunk of a cell and the cell's queries."""
@@ -221,17 +265,17 @@ def _search_cells(percent: int):
             queries = [g for g in group if g[2]]
             if not points or not queries:
                 return []
-            tree = CountTree(np.stack([np.frombuffer(g[3], np.int32) for g in points]).astype(np.int64), percent)
+            cell = Cell([np.frombuffer(g[3], np.int32) for g in points], percent)
             nodes, comps = np.array([g[0] for g in points]), np.array([g[1] for g in points])
             out = []
-            for i, found in tree.join(np.stack([np.frombuffer(g[3], np.int32) for g in queries]).astype(np.int64)):
-                node, comp = queries[i][:2]
-                other = nodes[found[comps[found] != comp]]
-                out += [(min(node, x), max(node, x)) for x in other.tolist()]
+            for node, comp, _, counts in queries:
+                found = cell.search(np.frombuffer(counts, np.int32))
+                out += [(min(node, x), max(node, x)) for x in nodes[found[comps[found] != comp]].tolist()]
             return out
 
-        def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+        def batch_of(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+            rows = sorted(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in rows], pa.int64()), pa.array([p[1] for p in rows], pa.int64())], ["a", "b"])
 
         for batch in batches:
             pairs: set[tuple[int, int]] = set()
@@ -241,9 +285,9 @@ def _search_cells(percent: int):
                     now, group = (element, chunk), []
                 group.append(row)
             if pairs:
-                yield batch_of(sorted(pairs))
-        if pairs := search():
-            yield batch_of(sorted(set(pairs)))
+                yield batch_of(pairs)
+        if pairs := set(search()):
+            yield batch_of(pairs)
 
     return run
 
@@ -255,14 +299,33 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.int32).reshape(-1, GROUPS).astype(np.int64) for c in ("ca", "cb"))
-            n, m = batch["na"].to_numpy(), batch["nb"].to_numpy()
-            good = (100 + percent) * np.minimum(x, y).sum(1) >= percent * (n + m)
-            yield batch.filter(pa.array(good)).select(["a", "b", "na", "nb"])
+            both = zip(*(batch[c].to_pylist() for c in ("ca", "cb")), (batch["na"].to_numpy() + batch["nb"].to_numpy()).tolist(), strict=True)
+            good = [(100 + percent) * bound(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)) >= percent * n for x, y, n in both]
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    return joined.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).mapInArrow(run, "a long, b long")
+
 
-    return joined.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).mapInArrow(run, "a long, b long, na long, nb long")
+def _verify(percent: int, width: int, salt: int):
+    """Over (a, part, node, text) with a's own row first in each (a, part): the pairs that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centre = None, None
+        for batch in batches:
+            links = []
+            rows = zip(*(batch[c].to_pylist() for c in ("a", "part", "node")), shingle_sets(batch["text"], width), strict=True)
+            for a, part, node, s in rows:
+                if _node(s, salt)[0] != node:
+                    continue  # another text under the same id
+                if node == a:
+                    now, centre = (a, part), s
+                elif now == (a, part):
+                    shared = len(np.intersect1d(centre, s, assume_unique=True))
+                    if shared * (100 + percent) >= percent * (len(centre) + len(s)):
+                        links.append((a, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -291,24 +354,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = texts.mapInArrow(_packed_cells(percent, width, salt, common, buckets), "bucket int, common boolean, pairs binary")
     cells = kept(packed.repartition("bucket").mapInArrow(_shared_cells, "element long, node long"))
+    same = cells.groupBy("element").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"), F.count("*").alias("k"))
+    cells = kept(cells.join(same.groupBy("x", "y", "k").agg(F.min("element").alias("element")).select("element"), "element"))
     members = cells.select("node").distinct()
-    chosen = info.where("n > 0").join(members, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    nodes = kept(chosen)
-    ids = nodes.select("doc_id", "node")
-    ids = F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids
-
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch["text"], width)]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    sets = kept(rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "text").mapInArrow(whole_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    nodes = kept(info.where("n > 0").join(members, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return cut(both.select("a", "b", (shared * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).alias("link")).where("link").select("a", "b"))
+        """A node's set meets those of its pairs, MEMBERS or so at a time; texts move, as they are smaller than sets."""
+        pairs = cut(pairs)
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+        centres = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
+        others = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
+        roles = cut(centres.unionByName(others).join(nodes.select("node", F.col("doc_id").alias("id")), "node"))
+        few = roles.count() <= BROADCAST_IDS
+        found = rows.join(F.broadcast(roles) if few else roles, rows["doc_id"].eqNullSafe(roles["id"])).select("a", "part", "node", F.coalesce("text", F.lit("")).alias("text"))
+        met = found.withColumn("other", F.col("node") != F.col("a")).repartition("a", "part").sortWithinPartitions("a", "part", "other")
+        return cut(met.select("a", "part", "node", "text").mapInArrow(_verify(percent, width, salt), "a long, b long").distinct())
 
     # Collapse.
     first = cells.groupBy("element").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("element", "a")
@@ -325,9 +386,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     points = left.select("element", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "comp", F.lit(False).alias("query"), "counts")
     queries = left.where("comp <> largest").select("element", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "comp", F.lit(True).alias("query"), "counts")
     grouped = points.unionByName(queries).repartition("element", "chunk").sortWithinPartitions("element", "chunk")
-    pairs = grouped.mapInArrow(_search_cells(percent), "a long, b long").distinct()
-    sizes = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    more = verified(pairs.join(sizes("a"), "a").join(sizes("b"), "b"))
+    more = verified(grouped.mapInArrow(_search_cells(percent), "a long, b long").distinct())
     classes = components(classes.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     placed = info.select("doc_id", "n", "node").join(classes, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
