@@ -9,10 +9,13 @@ elements that many documents share last; that is a hint, of bounded size, which
 2. Collapse: each node is held against the one node that shares most cells with it and comes first in them, so that large
    groups of near copies become a few classes without pairs between all their members.
 3. Join: cells in which more than one class is left get an R-tree over count vectors (CountTree); nodes outside the cell's
-   largest class are searched for in it. A cell's tree is built in chunks, each its own group, so none outgrows a task.
+   largest class are searched for in it. A node's HOMES are its largest cells; nodes with a common home meet in the
+   one of these and not in other cells, so a pair isn't looked at once a cell. A cell's tree is built in chunks, each
+   its own group, so none outgrows a task. The first round takes a node's best pair with each class; the second, over
+   what classes are left then, takes all.
 4. Pairs whose bound holds, from 2 and from 3, are verified on the whole sets; components of the verified pairs follow.
 
-A set of n has a count vector of about n / 8 groups: with fewer, all vectors of a size look alike. Numbers of groups are
+A set of n has a count vector of n groups or more: with fewer, vectors of unlike sets look alike. Numbers of groups are
 powers of two, so a vector folds to the next smaller number, and sizes that can link are one step apart at most.
 """
 
@@ -29,10 +32,10 @@ from pyspark.sql import functions as F
 from dyadflow.llm.bytetext import NOT_SPACE, Words, blocks, mix
 from dyadflow.llm.components import components
 from dyadflow.llm.rows import BROADCAST_IDS, without
-from dyadflow.llm.rtree import CountTree
+from dyadflow.llm.rtree import CountTree, smaller_sum
 from dyadflow.session import cut, shared_dir, table
 
-WIDTH, PERCENT, LEAST_GROUPS, PER_GROUP = 5, 80, 64, 8
+WIDTH, PERCENT, LEAST_GROUPS, HOMES = 5, 80, 64, 3
 #: Elements that count as common: so many times in a block of prefixes, in all, and at most.
 COMMON_HERE, COMMON, MAX_COMMON = 4, 32, 1 << 20
 #: Rows of a cell in one tree, and pairs of a node in one task of the verification.
@@ -67,19 +70,28 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    groups = max(LEAST_GROUPS, 1 << (-(-len(s) // PER_GROUP) - 1).bit_length())
-    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+    groups = max(LEAST_GROUPS, 1 << (len(s) - 1).bit_length())
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def packed(v: np.ndarray) -> bytes:
+    """A byte a group, or four where a count needs them; the first byte tells."""
+    return b"\x01" + v.astype(np.uint8).tobytes() if v.max() < 256 else b"\x04" + v.astype("<u4").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if raw[0] == 1 else "<u4", offset=1)
 
 
 def folded(v: np.ndarray, groups: int) -> np.ndarray:
     """The vector with fewer groups: a group's number loses its high bits."""
-    return v.reshape(-1, groups).sum(0) if len(v) > groups else v
+    return v.reshape(-1, groups).sum(0, dtype=np.uint32) if len(v) > groups else v
 
 
 def bound(v: np.ndarray, w: np.ndarray) -> int:
     """The sum of smaller counts: no two sets with these vectors share more."""
     groups = min(len(v), len(w))
-    return int(np.minimum(folded(v, groups), folded(w, groups)).sum())
+    return int(smaller_sum(folded(v, groups), folded(w, groups)))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -153,7 +165,7 @@ def _described(width: int, salt: int):
                 n.append(len(s))
                 node.append(a)
                 check.append(b)
-                counts.append(count_vector(s).tobytes() if len(s) else None)
+                counts.append(packed(count_vector(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "n", "node", "check", "counts"])
 
     return run
@@ -240,22 +252,35 @@ class Cell:
 
     def tree(self, own: int, groups: int) -> CountTree:
         if (own, groups) not in self.trees:
-            self.trees[own, groups] = CountTree(np.stack([folded(self.points[i], groups) for i in self.at[own]]).astype(np.int64), self.percent)
+            self.trees[own, groups] = CountTree(np.stack([folded(self.points[i], groups) for i in self.at[own]]), self.percent)
         return self.trees[own, groups]
 
-    def search(self, q: np.ndarray) -> np.ndarray:
-        """The points whose bound with q allows a link; those two or more steps of groups away are too far in size."""
-        out = [np.zeros(0, np.int64)]
+    def search(self, q: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The allowed points whose bound with q allows a link, and the bounds; points two or more steps of groups away are
+        too far in size."""
+        rows, bounds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for own in (len(q) // 2, len(q), 2 * len(q)):
-            if own in self.at:
+            if own in self.at and allowed[self.at[own]].any():
                 groups = min(own, len(q))
-                out.append(self.at[own][self.tree(own, groups).search(folded(q, groups).astype(np.int64))])
-        return np.concatenate(out)
+                found, got = self.tree(own, groups).search(folded(q, groups), allowed[self.at[own]])
+                rows.append(self.at[own][found])
+                bounds.append(got)
+        return np.concatenate(rows), np.concatenate(bounds)
 
 
-def _search_cells(percent: int):
-    """Over (element, chunk, node, comp, query, counts) in order of element and chunk: pairs of nodes in different classes
-    whose bound holds. A group's rows are a chunk of a cell and the cell's queries."""
+def meets_elsewhere(element: int, homes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the other nodes (a row of homes each, the largest first; 0 is none) meet a node with these homes in another
+    cell: that of the first homes if they are one, else of the least common home, if there is one."""
+    none = np.iinfo(np.int64).max
+    common = np.where((others[:, :, None] == homes[None, None, :]).any(2) & (others != 0), others, none).min(1, initial=none)
+    common = np.where(others[:, 0] == homes[0], homes[0], common)
+    return (common != element) & (common != none)
+
+
+def _search_cells(percent: int, best: bool):
+    """Over (element, chunk, node, comp, query, homes, counts) in order of element and chunk: pairs of nodes in different
+    classes whose bound holds, or with `best` for each query and other class the one with the largest bound over its
+    size. A group's rows are a chunk of a cell and the cell's queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
@@ -265,12 +290,20 @@ def _search_cells(percent: int):
             queries = [g for g in group if g[2]]
             if not points or not queries:
                 return []
-            cell = Cell([np.frombuffer(g[3], np.int32) for g in points], percent)
+            cell = Cell([unpacked(g[4]) for g in points], percent)
             nodes, comps = np.array([g[0] for g in points]), np.array([g[1] for g in points])
+            homes = np.array([(list(g[3]) + [0] * HOMES)[:HOMES] for g in points], np.int64)
             out = []
-            for node, comp, _, counts in queries:
-                found = cell.search(np.frombuffer(counts, np.int32))
-                out += [(min(node, x), max(node, x)) for x in nodes[found[comps[found] != comp]].tolist()]
+            for node, comp, _, own, counts in queries:
+                allowed = (comps != comp) & ~meets_elsewhere(now[0], np.array(own, np.int64), homes)
+                if not allowed.any():
+                    continue
+                found, bounds = cell.search(unpacked(counts), allowed)
+                if best and len(found) > 1:
+                    order = np.lexsort((nodes[found], -bounds, comps[found]))
+                    found = found[order]
+                    found = found[np.concatenate([[True], comps[found][1:] != comps[found][:-1]])]
+                out += [(min(node, x), max(node, x)) for x in nodes[found].tolist()]
             return out
 
         def batch_of(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -279,7 +312,7 @@ def _search_cells(percent: int):
 
         for batch in batches:
             pairs: set[tuple[int, int]] = set()
-            for element, chunk, *row in zip(*(batch[c].to_pylist() for c in ("element", "chunk", "node", "comp", "query", "counts")), strict=True):
+            for element, chunk, *row in zip(*(batch[c].to_pylist() for c in ("element", "chunk", "node", "comp", "query", "homes", "counts")), strict=True):
                 if (element, chunk) != now:
                     pairs.update(search())
                     now, group = (element, chunk), []
@@ -300,7 +333,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(*(batch[c].to_pylist() for c in ("ca", "cb")), (batch["na"].to_numpy() + batch["nb"].to_numpy()).tolist(), strict=True)
-            good = [(100 + percent) * bound(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)) >= percent * n for x, y, n in both]
+            good = [(100 + percent) * bound(unpacked(x), unpacked(y)) >= percent * n for x, y, n in both]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     return joined.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).mapInArrow(run, "a long, b long")
@@ -379,15 +412,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     classes = components(links)
 
     # Join.
-    held = cells.join(classes, "node", "left").select("element", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = held.groupBy("element", "comp").agg(F.count("*").alias("k")).groupBy("element").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("size"), F.count("*").alias("classes")).where("classes > 1")
-    mixed = mixed.select("element", F.col("m.comp").alias("largest"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    left = held.join(mixed, "element").join(nodes.select("node", "counts"), "node")
-    points = left.select("element", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "comp", F.lit(False).alias("query"), "counts")
-    queries = left.where("comp <> largest").select("element", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "comp", F.lit(True).alias("query"), "counts")
-    grouped = points.unionByName(queries).repartition("element", "chunk").sortWithinPartitions("element", "chunk")
-    more = verified(grouped.mapInArrow(_search_cells(percent), "a long, b long").distinct())
-    classes = components(classes.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    sizes = cells.groupBy("element").agg(F.count("*").alias("size"))
+    largest = F.slice(F.sort_array(F.collect_list(F.struct("size", "element")), asc=False), 1, HOMES)
+    homes = cells.join(sizes, "element").groupBy("node").agg(F.transform(largest, lambda x: x["element"]).alias("homes"))
+    described = cut(nodes.select("node", "counts").join(homes, "node"))
+    for best in (True, False):
+        held = cells.join(classes, "node", "left").join(described.select("node", "homes"), "node")
+        elsewhere = F.when(F.col("homes")[0] != F.col("element"), F.col("homes")[0])
+        held = held.select("element", "node", F.coalesce("comp", "node").alias("comp"), elsewhere.alias("home"))
+        most = lambda key, name: held.where(F.col(key).isNotNull()).groupBy("element", key).agg(F.count("*").alias("k")).groupBy("element").agg(F.max(F.struct("k", key)).alias(name), F.count("*").alias(f"{name}s"))
+        mixed = sizes.join(most("comp", "class").where("classs > 1"), "element").join(most("home", "home"), "element", "left")
+        # All pairs in the largest class are in one class, and all in the largest home meet there: the larger needs no queries.
+        by_home = F.coalesce(F.col("home.k") > F.col("class.k"), F.lit(False))
+        mixed = mixed.where("home is null or home.k < size").select("element", by_home.alias("by_home"), F.col("class.comp").alias("the_class"), F.col("home.home").alias("the_home"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+        left = held.join(mixed, "element").join(described, "node")
+        points = left.select("element", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "comp", F.lit(False).alias("query"), "homes", "counts")
+        asks = F.when(F.col("by_home"), ~F.col("home").eqNullSafe(F.col("the_home"))).otherwise(F.col("comp") != F.col("the_class"))
+        queries = left.where(asks).select("element", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "comp", F.lit(True).alias("query"), "homes", "counts")
+        grouped = points.unionByName(queries).repartition("element", "chunk").sortWithinPartitions("element", "chunk")
+        more = verified(grouped.mapInArrow(_search_cells(percent, best), "a long, b long").distinct())
+        classes = components(classes.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     placed = info.select("doc_id", "n", "node").join(classes, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
     placed = cut(placed.select("doc_id", F.col("n").alias("n_shingles"), "comp"))

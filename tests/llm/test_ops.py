@@ -124,7 +124,8 @@ def test_count_tree_loses_no_pair():
     sets = [set(r.integers(0, 400, r.integers(1, 80)).tolist()) for _ in range(150)]
     sets += [set(list(s)[: max(1, int(len(s) * 0.9))]) for s in sets]
     points = np.stack([np.bincount([x % 16 for x in s], minlength=16) for s in sets])
-    found = {(i, int(j)) for i, js in rtree.CountTree(points, 80).join(points) for j in js}
+    tree = rtree.CountTree(points.astype(np.uint8), 80)
+    found = {(i, int(j)) for i, q in enumerate(points) for j in tree.search(q)[0]}
     want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b)}
     assert want <= found and len(found) < len(sets) ** 2 / 4
 
