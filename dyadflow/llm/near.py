@@ -11,16 +11,17 @@ elements that many documents share last; that is a hint, of bounded size, which
 3. Join: cells in which more than one class is left get an R-tree over count vectors (CountTree); nodes outside the cell's
    largest class are searched for in it. A node's HOMES are its largest cells; nodes with a common home meet in the
    one of these and not in other cells, so a pair isn't looked at once a cell. A cell's tree is built in chunks, each
-   its own group, so none outgrows a task. The first round takes a node's best pair with each class; the second, over
-   what classes are left then, takes all.
+   its own group, so none outgrows a task. The first round takes, in crowded cells, a node's best pair with each class;
+   the second, over what classes are left then, takes all.
 4. Pairs whose bound holds, from 2 and from 3, are verified on the whole sets; components of the verified pairs follow.
 
-A set of n has a count vector of n groups or more: with fewer, vectors of unlike sets look alike. Numbers of groups are
+A set of n has a count vector of n / 2 groups or more: with far fewer, vectors of unlike sets look alike. Numbers of groups are
 powers of two, so a vector folds to the next smaller number, and sizes that can link are one step apart at most.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -35,11 +36,11 @@ from dyadflow.llm.rows import BROADCAST_IDS, without
 from dyadflow.llm.rtree import CountTree, smaller_sum
 from dyadflow.session import cut, shared_dir, table
 
-WIDTH, PERCENT, LEAST_GROUPS, HOMES = 5, 80, 64, 3
+WIDTH, PERCENT, LEAST_GROUPS, PER_GROUP, HOMES = 5, 80, 64, 2, 3
 #: Elements that count as common: so many times in a block of prefixes, in all, and at most.
 COMMON_HERE, COMMON, MAX_COMMON = 4, 32, 1 << 20
-#: Rows of a cell in one tree, and pairs of a node in one task of the verification.
-CHUNK, MEMBERS = 4096, 256
+#: Rows of a cell in one tree, pairs of a node in one task of the verification, and nodes of a cell that the first round takes.
+CHUNK, MEMBERS, CROWD = 4096, 256, 32
 _FLUSH = 1 << 20
 
 
@@ -70,7 +71,7 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    groups = max(LEAST_GROUPS, 1 << (len(s) - 1).bit_length())
+    groups = max(LEAST_GROUPS, 1 << (-(-len(s) // PER_GROUP) - 1).bit_length())
     return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
@@ -278,9 +279,9 @@ def meets_elsewhere(element: int, homes: np.ndarray, others: np.ndarray) -> np.n
 
 
 def _search_cells(percent: int, best: bool):
-    """Over (element, chunk, node, comp, query, homes, counts) in order of element and chunk: pairs of nodes in different
-    classes whose bound holds, or with `best` for each query and other class the one with the largest bound over its
-    size. A group's rows are a chunk of a cell and the cell's queries."""
+    """Over (element, band, chunk, node, comp, query, homes, counts) in order of the first three: pairs of nodes in different
+    classes whose bound holds, or with `best` for each query and other class the one with the largest bound. A group's
+    rows are a chunk of a cell's sets in one band of sizes, and the cell's queries that can reach the band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
@@ -312,10 +313,10 @@ def _search_cells(percent: int, best: bool):
 
         for batch in batches:
             pairs: set[tuple[int, int]] = set()
-            for element, chunk, *row in zip(*(batch[c].to_pylist() for c in ("element", "chunk", "node", "comp", "query", "homes", "counts")), strict=True):
-                if (element, chunk) != now:
+            for element, band, chunk, *row in zip(*(batch[c].to_pylist() for c in ("element", "band", "chunk", "node", "comp", "query", "homes", "counts")), strict=True):
+                if (element, band, chunk) != now:
                     pairs.update(search())
-                    now, group = (element, chunk), []
+                    now, group = (element, band, chunk), []
                 group.append(row)
             if pairs:
                 yield batch_of(pairs)
@@ -415,21 +416,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     sizes = cells.groupBy("element").agg(F.count("*").alias("size"))
     largest = F.slice(F.sort_array(F.collect_list(F.struct("size", "element")), asc=False), 1, HOMES)
     homes = cells.join(sizes, "element").groupBy("node").agg(F.transform(largest, lambda x: x["element"]).alias("homes"))
-    described = cut(nodes.select("node", "counts").join(homes, "node"))
+    described = cut(nodes.select("node", "n", "counts").join(homes, "node"))
+    band = F.floor(F.log("n") / F.lit(1.001 * math.log(100 / percent))).cast("int")  # sizes that can link are one band apart at most
     for best in (True, False):
-        held = cells.join(classes, "node", "left").join(described.select("node", "homes"), "node")
+        held = cells.join(classes, "node", "left").join(described.select("node", "homes", band.alias("band")), "node")
         elsewhere = F.when(F.col("homes")[0] != F.col("element"), F.col("homes")[0])
-        held = held.select("element", "node", F.coalesce("comp", "node").alias("comp"), elsewhere.alias("home"))
+        held = held.select("element", "node", "band", F.coalesce("comp", "node").alias("comp"), elsewhere.alias("home"))
         most = lambda key, name: held.where(F.col(key).isNotNull()).groupBy("element", key).agg(F.count("*").alias("k")).groupBy("element").agg(F.max(F.struct("k", key)).alias(name), F.count("*").alias(f"{name}s"))
         mixed = sizes.join(most("comp", "class").where("classs > 1"), "element").join(most("home", "home"), "element", "left")
         # All pairs in the largest class are in one class, and all in the largest home meet there: the larger needs no queries.
         by_home = F.coalesce(F.col("home.k") > F.col("class.k"), F.lit(False))
-        mixed = mixed.where("home is null or home.k < size").select("element", by_home.alias("by_home"), F.col("class.comp").alias("the_class"), F.col("home.home").alias("the_home"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-        left = held.join(mixed, "element").join(described, "node")
-        points = left.select("element", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "comp", F.lit(False).alias("query"), "homes", "counts")
+        mixed = mixed.where("home is null or home.k < size").where(F.col("size") >= (CROWD if best else 0))
+        mixed = mixed.select("element", by_home.alias("by_home"), F.col("class.comp").alias("the_class"), F.col("home.home").alias("the_home"))
+        left = held.join(mixed, "element")
         asks = F.when(F.col("by_home"), ~F.col("home").eqNullSafe(F.col("the_home"))).otherwise(F.col("comp") != F.col("the_class"))
-        queries = left.where(asks).select("element", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "comp", F.lit(True).alias("query"), "homes", "counts")
-        grouped = points.unionByName(queries).repartition("element", "chunk").sortWithinPartitions("element", "chunk")
+        queries = left.where(asks).select("element", "node", "comp", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+        # Ids alone move until it is known which rows have a row of another class to meet.
+        there = left.groupBy("element", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+        queries = queries.join(there, ["element", "band"]).where("lo <> hi or lo <> comp")
+        points = left.join(queries.select("element", "band", "chunks").distinct(), ["element", "band"])
+        points = points.select("element", "band", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "comp", F.lit(False).alias("query"))
+        queries = queries.select("element", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "comp", F.lit(True).alias("query"))
+        group = ("element", "band", "chunk")
+        grouped = points.unionByName(queries).join(described.select("node", "homes", "counts"), "node").repartition(*group).sortWithinPartitions(*group)
         more = verified(grouped.mapInArrow(_search_cells(percent, best), "a long, b long").distinct())
         classes = components(classes.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 

@@ -101,7 +101,7 @@ def test_near_duplicates(docs, empty):
 
 def test_near_duplicates_of_many_copies_and_common_passages(spark, monkeypatch):
     """Common elements, chunks and the tree's search all come in."""
-    for name, value in (("COMMON", 6), ("COMMON_HERE", 2), ("CHUNK", 8)):
+    for name, value in (("COMMON", 6), ("COMMON_HERE", 2), ("CHUNK", 8), ("CROWD", 4)):
         monkeypatch.setattr(near, name, value)
     r = np.random.default_rng(3)
     shared, rows = " ".join(words(50, 7)), []
