@@ -17,7 +17,7 @@ from dyadflow.llm.html_blocks import INLINE, Block, blocks_of
 
 TAG_SLOTS, PATH_SLOTS, WORD_SLOTS, PLAIN = 16, 64, 16, 10
 WIDTH = TAG_SLOTS + PATH_SLOTS + WORD_SLOTS + PLAIN
-HIDDEN, PAGES, EPOCHS, BATCH, SEED = 20, 1600, 5, 32, 5
+HIDDEN, PAGES, EPOCHS, BATCH, SEED = 20, 2400, 6, 32, 5
 
 
 @lru_cache(maxsize=1 << 16)
@@ -256,7 +256,8 @@ class BlockLabeller:
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         z, (both, sf, sb) = self.logits(x, mask, True)
         dz = ((_sigmoid(z) - y) * mask / mask.sum()).astype(np.float32)
-        g = {"o": np.einsum("tn,tnk->k", dz, both), "s": np.einsum("tn,tnk->k", dz, x), "c": np.array([dz.sum()])}
+        flat = dz.ravel()
+        g = {"o": flat @ both.reshape(len(flat), -1), "s": flat @ x.reshape(len(flat), -1), "c": np.array([dz.sum()])}
         k = self.h
         for d, saved, w in (("f", sf, self.w["o"][:k]), ("b", sb, self.w["o"][k:])):
             steps, n, _ = x.shape
@@ -272,7 +273,7 @@ class BlockLabeller:
                 gh += h.T @ dg[t]
                 dh = dg[t] @ self.w[f"{d}h"].T + through
                 dc = own_c * f + dc * (1 - m)
-            g |= {f"{d}x": np.einsum("tnw,tnk->wk", x, dg, optimize=True), f"{d}h": gh, f"{d}0": dg.sum((0, 1))}
+            g |= {f"{d}x": x.reshape(-1, WIDTH).T @ dg.reshape(-1, 4 * k), f"{d}h": gh, f"{d}0": dg.sum((0, 1))}
         return g
 
     def label(self, pages: list[np.ndarray], most: int = 8192) -> list[np.ndarray]:

@@ -41,7 +41,7 @@ WIDTH, PERCENT, LEAST_GROUPS, PER_GROUP, HOMES = 5, 80, 64, 2, 3
 COMMON_HERE, COMMON, MAX_COMMON = 4, 32, 1 << 20
 #: Rows of a cell in one tree, pairs of a node in one task of the verification, and nodes of a cell that the first round takes.
 CHUNK, MEMBERS, CROWD = 4096, 256, 32
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def _common_counts(percent: int, width: int):
         for batch in batches:
             for s in shingle_sets(batch["text"], width):
                 if len(s):
-                    held.append(s[: prefix_length(len(s), percent)])
+                    held.append(s[: prefix_length(len(s), percent)].copy())  # a view would keep the whole set
                     size += len(held[-1])
                 if size >= _FLUSH:
                     yield flush()
@@ -207,7 +207,7 @@ def _packed_cells(percent: int, width: int, salt: int, common, buckets: int):
                 seen.add(node)
                 for is_common, e in zip((False, True), common.value.prefix(s, prefix_length(len(s), percent)), strict=True):
                     if len(e):
-                        held[is_common].append((e, node))
+                        held[is_common].append((e.copy(), node))
                         size += len(e)
                 if size >= _FLUSH:
                     yield flush()

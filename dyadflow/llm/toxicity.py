@@ -1,8 +1,9 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, from a block-max inverted index (operator 8).
 
 The examples are a bounded sample of the labelled rows (MAX_EXAMPLES a class; the bound is a parameter). The terms are
-words and beginnings of words that go with a label in that sample, MAX_TERMS at most. Their document frequencies come
-from all documents. One pass over the texts finds each document's terms; the index over the examples, bounded by those
+words and beginnings of words that go with a label in that sample, MAX_TERMS at most, and one more term that every word
+of a document is an occurrence of, so that a vector tells few such terms in a long text from many in a short one. Their
+document frequencies come from all documents. One pass over the texts finds each document's terms; the index over the examples, bounded by those
 two parameters, is broadcast, and each document's neighbours are found exactly: blocks of examples are visited in
 order of their upper bounds until no block can reach the k-th similarity.
 """
@@ -71,19 +72,26 @@ class Vocabulary:
         self.bits[terms >> np.uint64(64 - _BITS)] = True
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term number, occurrences), by row and term."""
+        """(row, term number, occurrences), by row and term, of rows that have any term; the last number is the term of all
+        words."""
         rows, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, _, data, offsets in blocks(texts):
-            for row, h in term_hashes(data, offsets):
+        words = np.zeros(len(texts), np.int64)
+        for a, b, data, offsets in blocks(texts):
+            for k, (row, h) in enumerate(term_hashes(data, offsets)):
+                if not k:
+                    words[a:b] = np.bincount(row, minlength=b - a)
                 near = np.flatnonzero(self.bits[h >> np.uint64(64 - _BITS)])
                 if len(near) and len(self.terms):
                     at = np.minimum(np.searchsorted(self.terms, h[near]), len(self.terms) - 1)
                     hit = self.terms[at] == h[near]
                     rows.append(row[near[hit]] + a)
                     terms.append(at[hit])
-        width = max(1, len(self.terms))
+        width = len(self.terms) + 1
         key, n = np.unique(np.concatenate(rows) * width + np.concatenate(terms), return_counts=True)
-        return key // width, key % width, n
+        some = np.unique(key // width)
+        key, n = np.concatenate([key, some * width + width - 1]), np.concatenate([n, words[some]])
+        order = np.argsort(key)
+        return key[order] // width, key[order] % width, n[order]
 
 
 class BlockMaxIndex:
@@ -197,9 +205,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = cut(rows.mapInArrow(find, f"doc_id {kind}, terms array<int>, n array<int>"))
     total = found.count()
-    df = np.zeros(len(vocabulary.terms))
+    df = np.zeros(len(vocabulary.terms) + 1)
     for r in found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("c")).collect():  # max_terms rows at most
         df[r.t] = r.c
+    df[-1] = total  # every document has words
     votes = sc.broadcast(Votes(examples, vocabulary, np.log((1 + total) / (1 + df)) + 1, neighbours))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
