@@ -18,7 +18,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    return out.where("u > v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         if not now[0] or now == before:
             break
         before = now
-        edges = cut(_stars(_stars(edges, True), False))
+        edges = cut(_stars(_stars(edges, True), False).distinct())
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)

@@ -11,12 +11,13 @@ elements that many documents share last; that is a hint, of bounded size, which
 3. Join: cells in which more than one class is left get an R-tree over count vectors (CountTree); nodes outside the cell's
    largest class are searched for in it. A node's HOMES are its largest cells; nodes with a common home meet in the
    one of these and not in other cells, so a pair isn't looked at once a cell. A cell's tree is built in chunks, each
-   its own group, so none outgrows a task. The first round takes, in crowded cells, a node's best pair with each class;
-   the second, over what classes are left then, takes all.
-4. Pairs whose bound holds, from 2 and from 3, are verified on the whole sets; components of the verified pairs follow.
+   its own group, so none outgrows a task. The first round takes, in crowded cells, a node's BEST pairs, which joins
+   most of a large group; the second, over what classes are left then, takes all.
+4. Pairs whose bound holds, from 2 and from 3, are bounded again by longer vectors, and those left are verified on the
+   whole sets; components of the verified pairs follow.
 
-A set of n has a count vector of n / 2 groups or more: with far fewer, vectors of unlike sets look alike. Numbers of groups are
-powers of two, so a vector folds to the next smaller number, and sizes that can link are one step apart at most.
+Trees hold vectors of GROUPS counts. A set of n has a longer one, of n / 2 groups or more: with GROUPS, unlike large sets
+look alike. Numbers of groups are powers of two, so a vector folds to the next smaller number.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from dyadflow.llm.rows import BROADCAST_IDS, without
 from dyadflow.llm.rtree import CountTree, smaller_sum
 from dyadflow.session import cut, shared_dir, table
 
-WIDTH, PERCENT, LEAST_GROUPS, PER_GROUP, HOMES = 5, 80, 64, 2, 3
+WIDTH, PERCENT, GROUPS, PER_GROUP, HOMES, BEST = 5, 80, 64, 2, 3, 3
 #: Elements that count as common: so many times in a block of prefixes, in all, and at most.
 COMMON_HERE, COMMON, MAX_COMMON = 4, 32, 1 << 20
 #: Rows of a cell in one tree, pairs of a node in one task of the verification, and nodes of a cell that the first round takes.
@@ -71,7 +72,7 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    groups = max(LEAST_GROUPS, 1 << (-(-len(s) // PER_GROUP) - 1).bit_length())
+    groups = max(GROUPS, 1 << (-(-len(s) // PER_GROUP) - 1).bit_length())
     return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
@@ -160,14 +161,16 @@ def _common_counts(percent: int, width: int):
 def _described(width: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, check, counts = [], [], [], []
+            n, node, check, counts, few = [], [], [], [], []
             for s in shingle_sets(batch["text"], width):
                 a, b = _node(s, salt) if len(s) else (None, None)
                 n.append(len(s))
                 node.append(a)
                 check.append(b)
-                counts.append(packed(count_vector(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "n", "node", "check", "counts"])
+                v = count_vector(s) if len(s) else None
+                counts.append(packed(v) if len(s) else None)
+                few.append(packed(folded(v, GROUPS)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(counts, pa.binary()), pa.array(few, pa.binary())], ["doc_id", "n", "node", "check", "counts", "few"])
 
     return run
 
@@ -241,34 +244,6 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out(pairs[~(first[:-1] & first[1:])])
 
 
-class Cell:
-    """Points of one cell in trees by their number of groups."""
-
-    def __init__(self, points: list[np.ndarray], percent: int):
-        self.percent, self.points = percent, points
-        self.at: dict[int, np.ndarray] = {}
-        for g in sorted({len(p) for p in points}):
-            self.at[g] = np.array([i for i, p in enumerate(points) if len(p) == g])
-        self.trees: dict[tuple[int, int], CountTree] = {}
-
-    def tree(self, own: int, groups: int) -> CountTree:
-        if (own, groups) not in self.trees:
-            self.trees[own, groups] = CountTree(np.stack([folded(self.points[i], groups) for i in self.at[own]]), self.percent)
-        return self.trees[own, groups]
-
-    def search(self, q: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The allowed points whose bound with q allows a link, and the bounds; points two or more steps of groups away are
-        too far in size."""
-        rows, bounds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for own in (len(q) // 2, len(q), 2 * len(q)):
-            if own in self.at and allowed[self.at[own]].any():
-                groups = min(own, len(q))
-                found, got = self.tree(own, groups).search(folded(q, groups), allowed[self.at[own]])
-                rows.append(self.at[own][found])
-                bounds.append(got)
-        return np.concatenate(rows), np.concatenate(bounds)
-
-
 def meets_elsewhere(element: int, homes: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Which of the other nodes (a row of homes each, the largest first; 0 is none) meet a node with these homes in another
     cell: that of the first homes if they are one, else of the least common home, if there is one."""
@@ -280,7 +255,7 @@ def meets_elsewhere(element: int, homes: np.ndarray, others: np.ndarray) -> np.n
 
 def _search_cells(percent: int, best: bool):
     """Over (element, band, chunk, node, comp, query, homes, counts) in order of the first three: pairs of nodes in different
-    classes whose bound holds, or with `best` for each query and other class the one with the largest bound. A group's
+    classes whose bound holds, or with `best` the BEST ones of each query by bound over size. A group's
     rows are a chunk of a cell's sets in one band of sizes, and the cell's queries that can reach the band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,19 +266,18 @@ def _search_cells(percent: int, best: bool):
             queries = [g for g in group if g[2]]
             if not points or not queries:
                 return []
-            cell = Cell([unpacked(g[4]) for g in points], percent)
+            tree = CountTree(np.stack([unpacked(g[4]) for g in points]), percent)
             nodes, comps = np.array([g[0] for g in points]), np.array([g[1] for g in points])
             homes = np.array([(list(g[3]) + [0] * HOMES)[:HOMES] for g in points], np.int64)
+            sizes = np.array([unpacked(g[4]).sum(dtype=np.int64) for g in points])
             out = []
             for node, comp, _, own, counts in queries:
                 allowed = (comps != comp) & ~meets_elsewhere(now[0], np.array(own, np.int64), homes)
                 if not allowed.any():
                     continue
-                found, bounds = cell.search(unpacked(counts), allowed)
-                if best and len(found) > 1:
-                    order = np.lexsort((nodes[found], -bounds, comps[found]))
-                    found = found[order]
-                    found = found[np.concatenate([[True], comps[found][1:] != comps[found][:-1]])]
+                found, bounds = tree.search(unpacked(counts), allowed)
+                if best and len(found) > BEST:
+                    found = found[np.lexsort((nodes[found], -bounds / sizes[found]))[:BEST]]
                 out += [(min(node, x), max(node, x)) for x in nodes[found].tolist()]
             return out
 
@@ -326,9 +300,9 @@ def _search_cells(percent: int, best: bool):
     return run
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int, vector: str) -> DataFrame:
     """pairs(a, b) whose sizes and summed smaller counts allow a link."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(vector).alias(f"c{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +354,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     hint = hint.orderBy(F.desc("n"), "element").limit(MAX_COMMON).toPandas()  # MAX_COMMON rows at most
     common = sc.broadcast(Common(hint["element"].to_numpy(np.int64).view(np.uint64), hint["n"].to_numpy(np.int64)))
     for salt in range(1, 9):
-        info = kept(rows.mapInArrow(_described(width, salt), f"doc_id {kind}, n long, node long, check long, counts binary"))
+        info = kept(rows.mapInArrow(_described(width, salt), f"doc_id {kind}, n long, node long, check long, counts binary, few binary"))
         by_node = info.where("n > 0").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"))
         if not by_node.where("lo <> hi").limit(1).collect():
             break  # no two sets have one node
@@ -391,11 +365,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     same = cells.groupBy("element").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"), F.count("*").alias("k"))
     cells = kept(cells.join(same.groupBy("x", "y", "k").agg(F.min("element").alias("element")).select("element"), "element"))
     members = cells.select("node").distinct()
-    nodes = kept(info.where("n > 0").join(members, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")))
+    nodes = kept(info.where("n > 0").join(members, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("few").alias("few")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """A node's set meets those of its pairs, MEMBERS or so at a time; texts move, as they are smaller than sets."""
+        """Pairs bounded by the longer vectors, then compared: a node's set meets those of its pairs, MEMBERS or so at a time;
+        texts move, as they are smaller than sets. Long vectors move for the nodes of pairs only."""
         pairs = cut(pairs)
+        ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        own = nodes.select("node", "n", "counts").join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "node")
+        pairs = cut(_bounded(pairs, own, percent, "counts"))
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
         centres = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
         others = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
@@ -409,14 +387,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     first = cells.groupBy("element").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("element", "a")
     held = cells.join(first, "element").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("k"))
     best = held.groupBy("b").agg(F.max(F.struct("k", "a")).alias("m")).select("m.a", "b")
-    links = verified(_bounded(best, nodes, percent))
+    links = verified(_bounded(best, nodes, percent, "few"))
     classes = components(links)
 
     # Join.
     sizes = cells.groupBy("element").agg(F.count("*").alias("size"))
     largest = F.slice(F.sort_array(F.collect_list(F.struct("size", "element")), asc=False), 1, HOMES)
     homes = cells.join(sizes, "element").groupBy("node").agg(F.transform(largest, lambda x: x["element"]).alias("homes"))
-    described = cut(nodes.select("node", "n", "counts").join(homes, "node"))
+    described = cut(nodes.select("node", "n", F.col("few").alias("counts")).join(homes, "node"))
     band = F.floor(F.log("n") / F.lit(1.001 * math.log(100 / percent))).cast("int")  # sizes that can link are one band apart at most
     for best in (True, False):
         held = cells.join(classes, "node", "left").join(described.select("node", "homes", band.alias("band")), "node")
