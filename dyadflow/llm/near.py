@@ -39,10 +39,10 @@ from dyadflow.session import cut, shared_dir, table
 
 WIDTH, PERCENT, GROUPS, PER_GROUP, HOMES, BEST = 5, 80, 64, 2, 3, 3
 #: Elements that count as common: so many times in a block of prefixes, in all, and at most.
-COMMON_HERE, COMMON, MAX_COMMON = 4, 32, 1 << 20
+COMMON_HERE, COMMON, MAX_COMMON = 2, 4, 1 << 20
 #: Rows of a cell in one tree, pairs of a node in one task of the verification, and nodes of a cell that the first round takes.
 CHUNK, MEMBERS, CROWD = 4096, 256, 32
-_FLUSH = 1 << 18
+_FLUSH, _HINT_FLUSH = 1 << 18, 1 << 20
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def _common_counts(percent: int, width: int):
                 if len(s):
                     held.append(s[: prefix_length(len(s), percent)].copy())  # a view would keep the whole set
                     size += len(held[-1])
-                if size >= _FLUSH:
+                if size >= _HINT_FLUSH:
                     yield flush()
         if held:
             yield flush()
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     packed = texts.mapInArrow(_packed_cells(percent, width, salt, common, buckets), "bucket int, common boolean, pairs binary")
     cells = kept(packed.repartition("bucket").mapInArrow(_shared_cells, "element long, node long"))
     same = cells.groupBy("element").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"), F.count("*").alias("k"))
-    cells = kept(cells.join(same.groupBy("x", "y", "k").agg(F.min("element").alias("element")).select("element"), "element"))
+    cells = kept(cells.join(same.where("k > 1").groupBy("x", "y", "k").agg(F.min("element").alias("element")).select("element"), "element"))
     members = cells.select("node").distinct()
     nodes = kept(info.where("n > 0").join(members, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("few").alias("few")))
 
@@ -406,12 +406,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
         by_home = F.coalesce(F.col("home.k") > F.col("class.k"), F.lit(False))
         mixed = mixed.where("home is null or home.k < size").where(F.col("size") >= (CROWD if best else 0))
         mixed = mixed.select("element", by_home.alias("by_home"), F.col("class.comp").alias("the_class"), F.col("home.home").alias("the_home"))
-        left = held.join(mixed, "element")
+        left = cut(held.join(mixed, "element"))
         asks = F.when(F.col("by_home"), ~F.col("home").eqNullSafe(F.col("the_home"))).otherwise(F.col("comp") != F.col("the_class"))
         queries = left.where(asks).select("element", "node", "comp", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
         # Ids alone move until it is known which rows have a row of another class to meet.
         there = left.groupBy("element", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-        queries = queries.join(there, ["element", "band"]).where("lo <> hi or lo <> comp")
+        queries = cut(queries.join(there, ["element", "band"]).where("lo <> hi or lo <> comp").select("element", "band", "node", "comp", "chunks"))
         points = left.join(queries.select("element", "band", "chunks").distinct(), ["element", "band"])
         points = points.select("element", "band", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "comp", F.lit(False).alias("query"))
         queries = queries.select("element", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "comp", F.lit(True).alias("query"))
