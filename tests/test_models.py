@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dyadflow.functions import tails
 from dyadflow.operators import hmm, lmm, markov, pca, stats
 from dyadflow.operators.folds import balanced_folds, fold_of
+from dyadflow.session import cut
 
 T = [0, 1, 2, 2, 1, 0, 1, 1]
 C = [1, 2, 0, 1, 1, 2, 0, 1]
@@ -120,7 +121,7 @@ def test_em_climbs_and_both_fits_agree(spark, steps):
 def test_fit_tasks_resume_and_select(spark, steps):
     d = hmm.sessions(steps, "session_id", "dyad_id").withColumn("fold", (F.col("dyad_id") == "001").cast("int"))
     tasks = hmm.cv_tasks((2,), ((1.0, 1.0),), 2, 2)
-    fits = hmm.fit_tasks(d, tasks[:3], n_iter=3).localCheckpoint()
+    fits = cut(hmm.fit_tasks(d, tasks[:3], n_iter=3))
     rest = hmm.fit_tasks(d, tasks, fits, n_iter=3).collect()
     assert [(r.fold, r.restart) for r in rest] == [(1, 1)]
     whole = hmm.fit_tasks(d, tasks, n_iter=3)
