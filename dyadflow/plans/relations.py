@@ -155,12 +155,11 @@ SELECT g.dyad_id, n_sessions, total_length, {r6("dwell_geom")} AS dwell_geom, a.
 FROM g JOIN ft AS a USING (dyad_id) JOIN ft AS b USING (dyad_id) WHERE a.session_id <= 30 AND b.session_id <= 30""")
 def geometry_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pair's geometry against two session tables by pair only, so each pair has its sessions squared: as the analysis
-    does it. The sessions joined here are the first ones by number, a filter of the query itself."""
+    does it, over all sessions. The SQL beside it joins sessions up to number 30 only and agrees where there are no others."""
     f = features(spark, sf_dir)
     g = f.groupBy("dyad_id").agg(rollup.weighted_mean("mean_dwell", "length").alias("dwell_geom"), F.count("*").alias("n_sessions"), F.sum("length").alias("total_length"))
-    few = f.where("session_id <= 30")
-    a = few.select("dyad_id", F.col("session_id").alias("session_cpl"), F.col("occ_entropy").alias("entropy_cpl"))
-    b = few.select("dyad_id", F.col("session_id").alias("session_dir"), F.col("switching_rate").alias("switching_dir"))
+    a = f.select("dyad_id", F.col("session_id").alias("session_cpl"), F.col("occ_entropy").alias("entropy_cpl"))
+    b = f.select("dyad_id", F.col("session_id").alias("session_dir"), F.col("switching_rate").alias("switching_dir"))
     return rounding(g.join(a, "dyad_id").join(b, "dyad_id"))
 
 
