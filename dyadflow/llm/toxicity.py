@@ -1,11 +1,9 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, from a block-max inverted index (operator 8).
 
 The examples are a bounded sample of the labelled rows (MAX_EXAMPLES a class; the bound is a parameter). The terms are
-words and beginnings of words that go with a label in that sample, MAX_TERMS at most, and one more term that every word
-of a document is an occurrence of, so that a vector tells few such terms in a long text from many in a short one. Their
-document frequencies come from all documents. One pass over the texts finds each document's terms; the index over the examples, bounded by those
-two parameters, is broadcast, and each document's neighbours are found exactly: blocks of examples are visited in
-order of their upper bounds until no block can reach the k-th similarity.
+all words of those examples and beginnings of words; a document's other words, which no example has, aren't in its
+vector. Document frequencies come from all documents. One pass over the texts counts them; the index over the examples,
+bounded by their sample, is broadcast, and a second pass finds each document's neighbours exactly.
 """
 
 from __future__ import annotations
@@ -18,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadflow.llm.bytetext import ALNUM, Words, blocks, mix, powers
-from dyadflow.session import cut, table
+from dyadflow.session import table
 
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 4000, 1024, 15, 64
+MAX_EXAMPLES, NEIGHBOURS, BLOCK = 4000, 15, 64
+#: Terms of the index that are a matrix, and documents that are multiplied by it at once.
+DENSE, TOGETHER = 512, 64
+#: Document frequencies that move as one value.
+SLICE = 1 << 14
 #: Beginnings of words, in bytes, that are terms beside the words themselves.
 PREFIXES = (5, 6, 7, 8)
-MIN_TOXIC, MIN_Z = 4, 6.0
-_BITS = 20
+_BITS = 22
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -41,28 +42,13 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndar
         yield row[long], mix((sums[s + k] - sums[s]) * inverse[s] + np.uint64(k))
 
 
-def choose_terms(examples: list[tuple[str, int]], max_terms: int = MAX_TERMS) -> np.ndarray:
-    """Hashes of the terms that go with label 1, sorted: at least MIN_TOXIC such examples and a two-proportion z of MIN_Z."""
+def example_terms(examples: list[tuple[str, int]]) -> np.ndarray:
+    """Hashes of all terms of the examples, sorted."""
     seen: list[np.ndarray] = [np.zeros(0, np.uint64)]
-    of: list[np.ndarray] = [np.zeros(0, bool)]
-    for text, y in examples:
+    for text, _ in examples:
         raw = np.frombuffer((text or "").encode(), np.uint8)
-        own = np.unique(np.concatenate([h for _, h in term_hashes(raw, np.array([0, len(raw)]))]))
-        seen.append(own)
-        of.append(np.full(len(own), bool(y)))
-    n1 = sum(y for _, y in examples)
-    n0 = len(examples) - n1
-    if not n1 or not n0:
-        return np.zeros(0, np.uint64)
-    h, y = np.concatenate(seen), np.concatenate(of)
-    terms, at = np.unique(h, return_inverse=True)
-    c1 = np.bincount(at, weights=y, minlength=len(terms))
-    c0 = np.bincount(at, minlength=len(terms)) - c1
-    p = (c1 + c0) / (n1 + n0)
-    z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    good = np.flatnonzero((c1 >= MIN_TOXIC) & (z >= MIN_Z) & (c1 / n1 >= 4 * c0 / n0))
-    good = good[np.lexsort((terms[good], -z[good]))][:max_terms]
-    return np.sort(terms[good])
+        seen.append(np.unique(np.concatenate([h for _, h in term_hashes(raw, np.array([0, len(raw)]))])))
+    return np.unique(np.concatenate(seen))
 
 
 class Vocabulary:
@@ -72,77 +58,95 @@ class Vocabulary:
         self.bits[terms >> np.uint64(64 - _BITS)] = True
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term number, occurrences), by row and term, of rows that have any term; the last number is the term of all
-        words."""
-        rows, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        words = np.zeros(len(texts), np.int64)
-        for a, b, data, offsets in blocks(texts):
-            for k, (row, h) in enumerate(term_hashes(data, offsets)):
-                if not k:
-                    words[a:b] = np.bincount(row, minlength=b - a)
+        """(row, term number, occurrences), by row and term, of rows that have any term."""
+        keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        width = max(1, len(self.terms))
+        for a, _, data, offsets in blocks(texts):
+            own = [np.zeros(0, np.int64)]
+            for row, h in term_hashes(data, offsets):
                 near = np.flatnonzero(self.bits[h >> np.uint64(64 - _BITS)])
                 if len(near) and len(self.terms):
                     at = np.minimum(np.searchsorted(self.terms, h[near]), len(self.terms) - 1)
                     hit = self.terms[at] == h[near]
-                    rows.append(row[near[hit]] + a)
-                    terms.append(at[hit])
-        width = len(self.terms) + 1
-        key, n = np.unique(np.concatenate(rows) * width + np.concatenate(terms), return_counts=True)
-        some = np.unique(key // width)
-        key, n = np.concatenate([key, some * width + width - 1]), np.concatenate([n, words[some]])
-        order = np.argsort(key)
-        return key[order] // width, key[order] % width, n[order]
+                    own.append((row[near[hit]] + a) * width + at[hit])
+            key, n = np.unique(np.concatenate(own), return_counts=True)
+            keys.append(key)
+            times.append(n)
+        key = np.concatenate(keys)
+        return key // width, key % width, np.concatenate(times)
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples as postings by term and block, with each block's largest weight."""
+    """Unit vectors of the examples. The DENSE commonest terms are a matrix, multiplied by many documents at once; the others,
+    whose lists are short, are postings by term. The blocks' largest cosines bound the k-th one from below, so that few
+    examples are sorted."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int, block: int = BLOCK):
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))  # like with like, for tight blocks
+        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))  # like with like
         self.block, self.labels = block, labels[order]
         self.n_blocks = -(-len(order) // block)
         term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
         weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
         example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        often = np.sort(np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:DENSE])
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[often] = np.arange(len(often))
+        at = self.place[term]
+        d = at >= 0
+        self.common = np.zeros((len(often), self.n_blocks * block))
+        self.common[at[d], example[d]] = weight[d]
+        term, weight, example = term[~d], weight[~d], example[~d]
         by = np.lexsort((example, term))
-        self.example, self.weight = example[by], weight[by]
-        cell = term[by] * self.n_blocks + self.example // block
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        self.most = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.most.ravel(), cell, self.weight)
+        self.example, self.weight = example[by].astype(np.int32), weight[by]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+
+    def all_nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of the queries (terms, weights), (examples, cosines) of the k nearest with a cosine over 0, ties by example
+        number; exact, to 12 decimals."""
+        for i in range(0, len(queries), TOGETHER):
+            some = queries[i : i + TOGETHER]
+            dense = np.zeros((len(some), len(self.common)))
+            for j, (t, w) in enumerate(some):
+                at = self.place[t]
+                dense[j, at[at >= 0]] = w[at >= 0]
+            for (t, w), scores in zip(some, dense @ self.common, strict=True):
+                rare = self.place[t] < 0
+                lo, hi = self.start[t[rare]], self.start[t[rare] + 1]
+                here = _ranges(lo, hi)
+                scores += np.bincount(self.example[here], np.repeat(w[rare], hi - lo) * self.weight[here], len(scores))
+                most = np.sort(scores.reshape(self.n_blocks, self.block).max(1))
+                least = most[-k] - 1e-9 if self.n_blocks >= k else 0.0
+                ids = np.flatnonzero((scores >= least) & (scores > 1e-12))
+                got = np.round(scores[ids], 12)
+                keep = np.lexsort((ids, -got))[:k]
+                yield ids[keep], got[keep]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine over 0, ties by example number; exact."""
-        if not self.n_blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[terms]
-        ids, got, least = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (bound[b] < least - 1e-12):
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.start[t * self.n_blocks + b], self.start[t * self.n_blocks + b + 1]
-                scores[self.example[lo:hi] - b * self.block] += w * self.weight[lo:hi]
-            own = np.flatnonzero(scores > 0)
-            ids = np.concatenate([ids, own + b * self.block]).astype(np.int64)
-            got = np.concatenate([got, scores[own]])
-            if len(ids) > k:
-                keep = np.lexsort((ids, -got))[:k]
-                ids, got = ids[keep], got[keep]
-            if len(ids) == k:
-                least = got.min()
-        keep = np.lexsort((ids, -got))
-        return np.asarray(ids, np.int64)[keep], np.asarray(got)[keep]
+        return next(self.all_nearest([(terms, weights)], k))
 
 
 class Votes:
-    """The index with inverse document frequencies and the share of label 1 among examples without any term."""
+    """The index, with the terms' weights and the share of label 1 among examples without any term. A term's weight is its
+    inverse document frequency times 1 + |z|, z being the two-proportion statistic of its examples of either label: no term
+    is left out, and those that go with a label count for more."""
 
     def __init__(self, examples: list[tuple[str, int]], vocabulary: Vocabulary, idf: np.ndarray, neighbours: int):
-        self.idf, self.k = idf, neighbours
+        self.k = neighbours
         row, term, n = vocabulary.counts(pa.array([t for t, _ in examples], pa.large_string()))
         y = np.array([y for _, y in examples], np.int64)
+        n1, n0 = max(1, y.sum()), max(1, len(y) - y.sum())
+        c1 = np.bincount(term, weights=y[row], minlength=len(idf))
+        c0 = np.bincount(term, minlength=len(idf)) - c1
+        p = (c1 + c0) / (n1 + n0)
+        z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        z[p >= 1] = 0
+        self.weights = idf * (1 + np.abs(z))
         at = np.searchsorted(row, np.arange(len(examples) + 1))
         vectors, labels, bare = [], [], []
         for i in range(len(examples)):
@@ -156,22 +160,24 @@ class Votes:
         self.base = (sum(bare) + 0.5) / (len(bare) + 2)
 
     def vector(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(n)) * self.idf[terms] if len(terms) else np.zeros(0)
+        w = (1 + np.log(n)) * self.weights[terms] if len(terms) else np.zeros(0)
         return terms, w / np.linalg.norm(w) if len(w) else w
 
-    def score(self, terms: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
-        """The share of label 1 in votes weighted by cosine over distance, and (label, cosine) of the neighbours."""
-        if not len(terms):
-            return self.base, []
-        ids, cosines = self.index.nearest(*self.vector(terms, n), self.k)
-        if not len(ids):
-            return self.base, []
-        votes = cosines / (1.05 - np.minimum(cosines, 1))
-        y = self.index.labels[ids]
-        return float((votes @ y + 0.5 * self.base) / (votes.sum() + 0.5)), list(zip(y.tolist(), cosines.tolist(), strict=True))
-
-
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, neighbours: int = NEIGHBOURS) -> DataFrame:
+    def scores(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[int, float]]]]:
+        """For each (terms, occurrences), the share of label 1 in votes weighted by cosine over distance, and (label, cosine) of
+        the neighbours."""
+        found = self.index.all_nearest([self.vector(*c) for c in counts if len(c[0])], self.k)
+        for terms, _ in counts:
+            ids, cosines = next(found) if len(terms) else ((), np.zeros(0))
+            if not len(ids):
+                yield self.base, []
+                continue
+            votes = cosines / (1.05 - np.minimum(cosines, 1))
+            y = self.index.labels[ids]
+            yield float((votes @ y + 0.5 * self.base) / (votes.sum() + 0.5)), list(zip(y.tolist(), cosines.tolist(), strict=True))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, label: str = "toxic", max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
     """doc_id, held_out, score, predicted and the evidence (label and cosine of the neighbours) for every row of docs(doc_id, text).
 
     Labels of rows whose crc32(doc_id as text) mod `folds` is `held` aren't looked at; of the others, at most
@@ -193,33 +199,40 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
     examples = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
     by_id = {r.doc_id: (r.text, r.y) for r in examples.toLocalIterator()}
     examples = [by_id[i] for i in sorted(by_id)]
-    vocabulary = Vocabulary(choose_terms(examples, max_terms))
+    vocabulary = Vocabulary(example_terms(examples))
     known = sc.broadcast(vocabulary)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, df = 0, np.zeros(len(known.value.terms), np.int64)
         for batch in batches:
-            row, term, n = known.value.counts(batch["text"])
-            at = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(at, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32)))], ["doc_id", "terms", "n"])
+            rows += batch.num_rows
+            df += np.bincount(known.value.counts(batch["text"])[1], minlength=len(df))
+        if rows:
+            parts = [np.array([rows]), *(df[i : i + SLICE] for i in range(0, len(df), SLICE))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch["slice"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "n"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = cut(rows.mapInArrow(find, f"doc_id {kind}, terms array<int>, n array<int>"))
-    total = found.count()
-    df = np.zeros(len(vocabulary.terms) + 1)
-    for r in found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("c")).collect():  # max_terms rows at most
-        df[r.t] = r.c
-    df[-1] = total  # every document has words
+    tallies = rows.select("text").mapInArrow(tally, "slice int, n binary").repartition("slice").mapInArrow(add, "slice int, n binary")
+    df = np.concatenate([np.frombuffer(r.n, np.int64) for r in sorted(tallies.toLocalIterator(), key=lambda r: r.slice)] or [np.zeros(1, np.int64)])  # a number for each of the examples' terms
+    total, df = df[0], df[1:] if len(df) > 1 else np.zeros(len(vocabulary.terms), np.int64)
     votes = sc.broadcast(Votes(examples, vocabulary, np.log((1 + total) / (1 + df)) + 1, neighbours))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch["terms"].offsets.to_numpy()
-            term, n = batch["terms"].values.to_numpy(), batch["n"].values.to_numpy()
-            got = [votes.value.score(term[a:b], n[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            row, term, n = known.value.counts(batch["text"])
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            got = list(votes.value.scores([(term[a:b], n[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]))
             evidence = pa.array([[{"label": y, "cosine": c} for y, c in e] for _, e in got], pa.list_(pa.struct([("label", pa.int32()), ("cosine", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s for s, _ in got], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
-    scored = found.mapInArrow(vote, f"doc_id {kind}, score double, evidence array<struct<label:int,cosine:double>>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = rows.mapInArrow(vote, f"doc_id {kind}, score double, evidence array<struct<label:int,cosine:double>>")
     return scored.select("doc_id", F.coalesce(remainder == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
