@@ -221,8 +221,10 @@ def _packed_cells(percent: int, width: int, salt: int, common, buckets: int):
 
 
 def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(element, node) of the elements that more than one node has; common ones pass."""
+    """(element, node), once each, of the elements that more than one node has; common ones pass. Those of a node are in one
+    bucket, and together in what a task sends, so of a set that several tasks sent the first to come stays."""
     held: list[np.ndarray] = []
+    seen: set[int] = set()
 
     def out(pairs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["element", "node"])
@@ -231,7 +233,10 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for is_common, raw in zip(batch["common"].to_pylist(), batch["pairs"].to_pylist(), strict=True):
             pairs = np.frombuffer(raw, np.int64).reshape(-1, 2)
             if is_common:
-                yield out(pairs)
+                own = np.unique(pairs[:, 1])
+                fresh = own[[x not in seen for x in own.tolist()]]
+                seen.update(fresh.tolist())
+                yield out(pairs[np.isin(pairs[:, 1], fresh)])
             else:
                 held.append(pairs)
     if held:

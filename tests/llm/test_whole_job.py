@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from dyadflow.llm import toxicity
+from dyadflow.llm import near, toxicity
 
 
 def test_toxicity_finds_an_example_of_rare_words(spark):
@@ -19,3 +19,15 @@ def test_toxicity_finds_an_example_of_rare_words(spark):
         assert got[1000 + k].predicted == int(k in (3, 8)) and got[1000 + k].score == got[k].score
         assert got[1000 + k].evidence[0].cosine > 1 - 1e-9 and got[1000 + k].evidence[0].label == int(k in (3, 8))
     assert got[2000].predicted == 1 and not got[2001].evidence and not got[2002].evidence
+
+
+def test_near_duplicates_whose_copies_lie_in_two_partitions(spark):
+    """All shingles are common, as they are documents too, and each set comes from both partitions."""
+    half = []
+    for g in range(6):
+        w = [f"g{g}x{k}" for k in range(9)]
+        half += [" ".join(w), " ".join(w[:8]), *(" ".join(w[k : k + 5]) for k in range(5)), *(" ".join(w[k : k + 5]) for k in range(5))]
+    rows = list(enumerate(half * 2))
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    want = lambda i: 0 if i % 12 < 2 else 2 + (i % 12 - 2) % 5
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(d).collect()} == {i: i % 72 // 12 * 12 + want(i) for i, _ in rows}
