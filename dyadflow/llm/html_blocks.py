@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
+from collections import defaultdict
 from dataclasses import dataclass
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -13,6 +15,9 @@ _PART = re.compile(r"[a-z]+|[A-Z]+[a-z]*|\d+")
 #: Elements whose content isn't markup or isn't shown.
 RAW = frozenset("script style template noscript textarea iframe svg math object select option xmp noframes noembed canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
+#: Open elements of either kind, block-level and inline, that a path shows, from the root down; all are matched with end tags.
+SHOWN = 256
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag ends open elements of these kinds, up to the nearest of the others.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -31,19 +36,23 @@ def _names(attributes: str) -> tuple[str, ...]:
     out = []
     for m in _ATTRIBUTE.finditer(attributes):
         out += [p.lower() for p in _PART.findall(m[2] or m[3] or m[4] or "")]
-    return tuple(out[:12])
+    return tuple(out)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order. White space is one blank, character references are decoded; blocks without visible
     characters aren't there. Comments, declarations and the content of RAW elements are left out; an unclosed RAW
     element ends with the page. A paragraph ends where another block-level element starts, list items, cells and terms
-    where the next does, and an end tag that opens nothing means nothing. Text after a `<` that begins no tag is text."""
+    where the next does, and an end tag that opens nothing means nothing. Text after a `<` that begins no tag is text. Paths show
+    the outermost SHOWN block-level and SHOWN inline elements."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, bool]] = []  # all open elements, and whether the path shows them
+    path: list[tuple[str, tuple[str, ...]]] = []
+    shown = {True: 0, False: 0}  # by whether they are inline
+    places: defaultdict[str, list[int]] = defaultdict(list)  # in the stack, by tag
+    outer: list[int] = []  # places of block-level elements
     pieces: list[str] = []
     linked, links = 0, 0
-    lowered = None
 
     def flush() -> None:
         nonlocal linked
@@ -52,16 +61,23 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
             text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
             if text:
-                out.append(Block(text, tuple(stack), min(linked, len(text))))
+                out.append(Block(text, tuple(path), min(linked, len(text))))
         linked = 0
 
     def close(k: int) -> None:
         """Ends the open elements from number k on."""
         nonlocal links
-        if any(t not in INLINE for t, _ in stack[k:]):
+        if outer and outer[-1] >= k:
             flush()
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            t, seen = stack.pop()
+            places[t].pop()
+            links -= t == "a"
+            if t not in INLINE:
+                outer.pop()
+            if seen:
+                path.pop()
+                shown[t in INLINE] -= 1
 
     at = 0
     n = len(page)
@@ -80,20 +96,15 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, attributes = tag.lower(), m[3] or m[6] or ""
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 65), -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
-                if tag in ("p", "br"):
-                    flush() if tag == "p" else pieces.append(" ")
+            if places[tag]:
+                close(places[tag][-1])
+            elif tag in ("p", "br"):
+                flush() if tag == "p" else pieces.append(" ")
             continue
         if tag in RAW:
             if tag not in INLINE and not attributes.endswith("/"):
-                lowered = page.lower() if lowered is None else lowered
-                lowered = page if len(lowered) != n else lowered  # a character that grows when lowered
-                stop = lowered.find(f"</{tag}", at)
-                at = n if stop < 0 else (page.find(">", stop) + 1 or n)
+                stop = _RAW_END[tag].search(page, at)
+                at = n if not stop else (page.find(">", stop.start()) + 1 or n)
             continue
         if tag in VOID:
             if tag in INLINE:
@@ -104,19 +115,25 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
             kinds, walls = _ENDS.get(tag, ((), ()))
-            for k in range(len(stack) - 1, max(-1, len(stack) - 65), -1):
-                if stack[k][0] == "p" or stack[k][0] in kinds:
-                    close(k)
-                    if tag not in _ENDS or stack[-1:] and stack[-1][0] in walls:
-                        break
-                elif stack[k][0] in walls or (stack[k][0] not in INLINE and not kinds):
-                    break
-            if len(stack) >= 256:
-                continue  # deeper elements add their text to what is open
+            if kinds:
+                wall = max((places[t][-1] for t in walls if places[t]), default=-1)
+                ended = [places[t][i] for t in (*kinds, "p") if (i := bisect(places[t], wall)) < len(places[t])]
+                if ended:
+                    close(min(ended))
+            elif outer and stack[outer[-1]][0] == "p":
+                close(outer[-1])
         elif tag == "a":
             links += 1
         if not attributes.endswith("/") or tag not in INLINE:
-            stack.append((tag, _names(attributes)))
+            inline = tag in INLINE
+            seen = shown[inline] < SHOWN
+            if seen:
+                path.append((tag, _names(attributes)))
+                shown[inline] += 1
+            if not inline:
+                outer.append(len(stack))
+            places[tag].append(len(stack))
+            stack.append((tag, seen))
         elif tag == "a":
             links -= 1
     flush()

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from dyadflow.llm import near, toxicity
+from dyadflow.llm import html_blocks, near, toxicity
 
 
 def test_toxicity_finds_an_example_of_rare_words(spark):
@@ -31,3 +31,13 @@ def test_near_duplicates_whose_copies_lie_in_two_partitions(spark):
     d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
     want = lambda i: 0 if i % 12 < 2 else 2 + (i % 12 - 2) % 5
     assert {r.doc_id: r.component_id for r in near.near_duplicates(d).collect()} == {i: i % 72 // 12 * 12 + want(i) for i, _ in rows}
+
+
+def test_html_matches_end_tags_beyond_many_open_elements():
+    of = lambda page: {b.text: [t for t, _ in b.path] for b in html_blocks.blocks_of(page)}
+    assert of("<nav>menu" + "<b>" * 300 + "</nav><p>main")["main"] == ["p"]
+    assert of("<b>" * 300 + "<nav>menu</nav><p>main")["menu"][-1] == "nav"
+    assert of("<ul><li>one" + "<i>" * 100 + "<li>two")["two"] == ["ul", "li"]
+    assert of("<main>" + "<div>" * 400 + "deep" + "</div>" * 400 + "end")["end"] == ["main"]
+    assert html_blocks.blocks_of('<div class="' + "mt4 " * 20 + '" id=comments>x')[0].path[0][1][-1] == "comments"
+    assert list(of("\u0130<SCRIPT>no</SCRIPT><p>main")) == ["\u0130", "main"]
