@@ -55,6 +55,28 @@ class Windows:
                     yield i, n, items
 
 
+def _without(runs: list[tuple[int, int]], w: Words, k: int, data: np.ndarray, offsets: np.ndarray) -> str:
+    """Row k's text without these half-open runs of its words."""
+    raw, kept, at = data[offsets[k] : offsets[k + 1]].tobytes(), [], 0
+    for x, y in runs:
+        s, e = int(w.starts[w.first[k] + x] - offsets[k]), int(w.ends[w.first[k] + y - 1] - offsets[k])
+        kept.append(raw[at:s])
+        at = e
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over merged rows with text: the text without the spans, null where there are none."""
+    for batch in batches:
+        cleaned, spans = [], batch["spans"].to_pylist()
+        for a, b, data, offsets in blocks(batch["text"]):
+            w = Words(data, offsets, ALNUM)
+            for k in range(b - a):
+                cleaned.append(_without([(x["a"], x["b"]) for x in spans[a + k]], w, k, data, offsets) if spans[a + k] else None)
+        columns = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(cleaned, pa.string())], [*columns, "cleaned"])
+
+
 def _scan(known, keep_text: bool):
     """For mapInArrow over (doc_id, text): spans of hit words and the items found; with keep_text the text without them too."""
 
@@ -86,12 +108,7 @@ def _scan(known, keep_text: bool):
                     runs = edge.reshape(-1, 2)
                     spans.append([{"a": int(x), "b": int(y)} for x, y in runs])
                     if keep_text:
-                        raw, kept, at = data[offsets[k] : offsets[k + 1]].tobytes(), [], 0
-                        for x, y in runs:
-                            s, e = int(w.starts[lo + x] - offsets[k]), int(w.ends[lo + y - 1] - offsets[k])
-                            kept.append(raw[at:s])
-                            at = e
-                        cleaned.append(b"".join([*kept, raw[at:]]).decode())
+                        cleaned.append(_without(runs.tolist(), w, k, data, offsets))
                     else:
                         cleaned.append(None)
             columns = [batch["doc_id"], batch["row"], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(cleaned, pa.string())]
@@ -107,8 +124,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     Words are runs of 0-9, a-z and characters beyond ASCII, after A-Z is lowered; null or empty texts have none. Items with
     fewer than `window` words, but not none, count as one window. Repeated items and rows each count. Columns of other names
     aren't read. The benchmark's size is measured first: up to pass_bytes it is one broadcast and one pass that shuffles
-    nothing; a larger one is cut by a hash of the item, scanned for in as many passes, and the passes' spans are merged by
-    row. An empty benchmark hits nothing.
+    nothing; a larger one is cut by a hash of the item, scanned for in as many passes, the passes' spans are merged by id and
+    text, joined to all rows and, with keep_text, cut from the texts. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
@@ -133,7 +150,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
     )
     merged = merged.withColumn("spans", union).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["b"] - x["a"]))
-    return merged.select("doc_id", "n_words", "n_hit", "items", "spans", F.lit(None).cast("string").alias("cleaned"))
+    merged = merged.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "n_words", "n_hit", "items", "spans")
+    every = rows if keep_text else rows.drop("text")
+    every = every.join(merged, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")))
+    if not keep_text:
+        return every.select("doc_id", "n_words", "n_hit", "items", "spans", F.lit(None).cast("string").alias("cleaned"))
+    return every.select("doc_id", "n_words", "n_hit", "items", "spans", "text").mapInArrow(_cut_spans, schema.replace(" row long,", ""))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

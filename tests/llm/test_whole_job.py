@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from dyadflow.llm import html_blocks, near, toxicity
+from dyadflow.llm import decontaminate, html_blocks, near, toxicity
 
 
 def test_toxicity_finds_an_example_of_rare_words(spark):
@@ -41,3 +41,15 @@ def test_html_matches_end_tags_beyond_many_open_elements():
     assert of("<main>" + "<div>" * 400 + "deep" + "</div>" * 400 + "end")["end"] == ["main"]
     assert html_blocks.blocks_of('<div class="' + "mt4 " * 20 + '" id=comments>x')[0].path[0][1][-1] == "comments"
     assert list(of("\u0130<SCRIPT>no</SCRIPT><p>main")) == ["\u0130", "main"]
+
+
+def test_decontamination_in_many_passes_is_that_of_one(spark):
+    w = [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(w[5:17])), (2, " ".join(w[12:25])), (3, "tiny item")], "item_id long, text string")
+    hit = "\u00e9, " + "; ".join(w) + " a Tiny  item!"
+    rows = [(1, hit), (1, hit), (1, "clean"), (None, hit), (None, None), (None, None), (4, ""), (5, "tiny item")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, many = (decontaminate.contamination(d, bench, pass_bytes=b, keep_text=True).collect() for b in (1 << 20, 60))
+    assert sorted(map(repr, many)) == sorted(map(repr, one)) and len(many) == len(rows)
+    assert sum(r.cleaned is not None for r in many) == 4
+    assert len(decontaminate.contamination(d, bench, pass_bytes=60).collect()) == len(rows)
