@@ -24,11 +24,13 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder. Python workers that this machine starts find the package whatever their working folder."""
+    """A table of a folder. Python workers that this machine starts find the package whatever their working folder, and
+    multiply matrices in one thread."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")  # a worker has one core
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
