@@ -1,9 +1,10 @@
 """Line dedup by document frequency, with DataFrame operations only (operator 2).
 
 Two narrow passes over exploded lines: the first counts documents for each 128-bit line hash, the second meets the
-frequent hashes and gathers, for each document, the positions to drop. Texts move once, in the last join. Counts
-combine on the map side, so a line that every document has costs a row a task; the join's hot hashes are split by
-Spark's skew handling, and where the frequent hashes are few Spark broadcasts them by their measured size.
+frequent hashes and gathers, for each document, the positions to drop. Texts move once, in the last join. A document
+counts once for a hash, so (hash, id) pairs are dealt first, by both, and counts of them combine before they move: a line
+that every document has costs a row a task. The frequent hashes are counted; up to a million are broadcast, so the
+exploded lines don't move, and beyond that Spark's skew handling splits the join's hot hashes.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadflow.session import table
+from dyadflow.llm.rows import BROADCAST_IDS
+from dyadflow.session import cut, table
 
 MIN_DOCS, MIN_CHARS = 10, 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,16 +35,19 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
 
     Lines end at \\n; a null or empty text is one empty line. Lines whose key has at least min_chars code points and
     occurs in at least min_docs documents go, in every document; the others stay as they are, in order, joined by \\n.
-    A document is a row, so repeated rows count each; a line repeated in a document counts once. Null ids are ids like
-    others. Columns of other names aren't read. An empty table gives no rows.
+    Documents are told apart by doc_id, null being one: a line counts once for an id, however often its rows have it. Repeated
+    rows stay as they are, each with its counts. Columns of other names aren't read. An empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     lines = F.split("text", "\n")
     keys = F.transform(lines, line_key)
     long_enough = F.char_length("key") >= min_chars
-    frequent = _hashed(rows.select(F.explode(F.array_distinct(keys)).alias("key")).where(long_enough)).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    found = _hashed(rows.select("doc_id", "mark", F.posexplode(keys).alias("pos", "key")).where(long_enough)).join(frequent, ["h1", "h2"])
-    dropped = found.groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("drop")).select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), F.array_distinct("drop").alias("drop"))
+    every = _hashed(rows.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).where(long_enough))
+    documents = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
+    frequent = cut(every.groupBy("h1", "h2").agg(documents.alias("n")).where(F.col("n") >= min_docs).drop("n"))
+    few = frequent.count() <= BROADCAST_IDS
+    found = _hashed(rows.select("doc_id", "mark", F.posexplode(keys).alias("pos", "key")).where(long_enough)).join(F.broadcast(frequent) if few else frequent, ["h1", "h2"])
+    dropped = found.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("drop")).select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "drop")
     out = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["id"]) & (rows["mark"] == dropped["m"]), "left").withColumn("lines", lines)
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n"))
