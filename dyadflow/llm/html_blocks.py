@@ -12,23 +12,47 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[\s ]+")
 _PART = re.compile(r"[a-z]+|[A-Z]+[a-z]*|\d+")
-#: Elements whose content isn't markup or isn't shown.
-RAW = frozenset("script style template noscript textarea iframe svg math object select option xmp noframes noembed canvas audio video".split())
+#: Elements whose content isn't markup or isn't shown, and lists to choose from in forms.
+RAW = frozenset("script style template textarea select iframe noframes noembed canvas audio video annotation annotation-xml desc metadata".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
-#: Open elements of either kind, block-level and inline, that a path shows, from the root down; all are matched with end tags.
-SHOWN = 256
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that don't end a block: HTML's, formulas' and drawings'.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
+    "svg circle clippath defs ellipse g line path polygon polyline rect symbol text textpath tspan use".split()
+)
 #: A start tag ends open elements of these kinds, up to the nearest of the others.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+class Node:
+    """An open element: its tag, the parts of its class, id and role, the element around it, how many are, the innermost
+    block-level tag, and what names and block-level tags it has that none around it has."""
+
+    __slots__ = ("tag", "names", "parent", "depth", "inner", "new", "vector")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None, new: list[str]):
+        self.tag, self.names, self.parent, self.new, self.vector = tag, names, parent, new, None
+        self.depth = parent.depth + 1 if parent else 0
+        self.inner = parent.inner if parent and tag in INLINE else tag
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # (tag, parts of its class, id and role) from the root down
+    node: Node
     linked: int  # code points inside links
 
+    @property
+    def path(self) -> list[tuple[str, tuple[str, ...]]]:
+        """(tag, names) of the elements around it, from the root down."""
+        out, node = [], self.node
+        while node.parent:
+            out.append((node.tag, node.names))
+            node = node.parent
+        return out[::-1]
+
 
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
@@ -43,12 +67,12 @@ def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order. White space is one blank, character references are decoded; blocks without visible
     characters aren't there. Comments, declarations and the content of RAW elements are left out; an unclosed RAW
     element ends with the page. A paragraph ends where another block-level element starts, list items, cells and terms
-    where the next does, and an end tag that opens nothing means nothing. Text after a `<` that begins no tag is text. Paths show
-    the outermost SHOWN block-level and SHOWN inline elements."""
+    where the next does, and an end tag that opens nothing means nothing. Text after a `<` that begins no tag is text. Elements
+    of any depth count."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # all open elements, and whether the path shows them
-    path: list[tuple[str, tuple[str, ...]]] = []
-    shown = {True: 0, False: 0}  # by whether they are inline
+    stack: list[tuple[str, Node]] = []  # all open elements
+    root = node = Node("", (), None, [])
+    around: defaultdict[str, int] = defaultdict(int)  # open elements by name and block-level tag
     places: defaultdict[str, list[int]] = defaultdict(list)  # in the stack, by tag
     outer: list[int] = []  # places of block-level elements
     pieces: list[str] = []
@@ -61,23 +85,23 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
             text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
             if text:
-                out.append(Block(text, tuple(path), min(linked, len(text))))
+                out.append(Block(text, node, min(linked, len(text))))
         linked = 0
 
     def close(k: int) -> None:
         """Ends the open elements from number k on."""
-        nonlocal links
+        nonlocal links, node
         if outer and outer[-1] >= k:
             flush()
         while len(stack) > k:
-            t, seen = stack.pop()
+            t, gone = stack.pop()
             places[t].pop()
             links -= t == "a"
             if t not in INLINE:
                 outer.pop()
-            if seen:
-                path.pop()
-                shown[t in INLINE] -= 1
+            for x in gone.new:
+                around[x] -= 1
+            node = gone.parent or root
 
     at = 0
     n = len(page)
@@ -102,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
                 flush() if tag == "p" else pieces.append(" ")
             continue
         if tag in RAW:
-            if tag not in INLINE and not attributes.endswith("/"):
+            if not attributes.endswith("/"):
                 stop = _RAW_END[tag].search(page, at)
                 at = n if not stop else (page.find(">", stop.start()) + 1 or n)
             continue
@@ -125,15 +149,17 @@ def blocks_of(page: str) -> list[Block]:
         elif tag == "a":
             links += 1
         if not attributes.endswith("/") or tag not in INLINE:
-            inline = tag in INLINE
-            seen = shown[inline] < SHOWN
-            if seen:
-                path.append((tag, _names(attributes)))
-                shown[inline] += 1
+            inline, names = tag in INLINE, _names(attributes)
+            new = []
+            for x in names if inline else (f"<{tag}", *names):
+                if not around[x]:
+                    around[x] += 1
+                    new.append(x)
+            node = Node(tag, names, node, new)
             if not inline:
                 outer.append(len(stack))
             places[tag].append(len(stack))
-            stack.append((tag, seen))
+            stack.append((tag, node))
         elif tag == "a":
             links -= 1
     flush()

@@ -8,12 +8,13 @@ label is known.
 
 from __future__ import annotations
 
+import random
 import zlib
 from functools import lru_cache
 
 import numpy as np
 
-from dyadflow.llm.html_blocks import INLINE, Block, blocks_of
+from dyadflow.llm.html_blocks import Block, Node, blocks_of
 
 TAG_SLOTS, PATH_SLOTS, WORD_SLOTS, PLAIN = 16, 64, 16, 10
 WIDTH = TAG_SLOTS + PATH_SLOTS + WORD_SLOTS + PLAIN
@@ -21,53 +22,61 @@ HIDDEN, PAGES, EPOCHS, BATCH, SEED = 20, 2400, 6, 32, 5
 
 
 @lru_cache(maxsize=1 << 16)
-def _slot(text: str, slots: int) -> tuple[int, float]:
+def _slot(text: str, slots: int) -> int:
+    """A slot and a sign, by hash: slot, or slots + slot for a minus."""
     h = zlib.crc32(text.encode())
-    return (h >> 8) % slots, 1.0 if h & 1 else -1.0
-
-
-@lru_cache(maxsize=1 << 14)
-def _path(path: tuple) -> np.ndarray:
-    """Signed hashes of the path's tags and names, and of the innermost block-level tag."""
-    out = np.zeros(TAG_SLOTS + PATH_SLOTS)
-    inner = next((t for t, _ in reversed(path) if t not in INLINE), "")
-    k, s = _slot(f"inner {inner}", TAG_SLOTS)
-    out[k] += s
-    seen = set()
-    for tag, names in path:
-        for f in (tag if tag not in INLINE else "", *(f"name {x}" for x in names)):
-            if f and f not in seen:
-                seen.add(f)
+    return (h >> 8) % slots + (0 if h & 1 else slots)
+
+
+def _path(node: Node) -> np.ndarray:
+    """Signed hashes of the block-level tags and the names around, each once; an element adds its own to its parent's."""
+    waiting = []
+    while node.vector is None and node.parent:
+        waiting.append(node)
+        node = node.parent
+    if node.vector is None:
+        node.vector = np.zeros(PATH_SLOTS, np.float32)
+    for x in reversed(waiting):
+        x.vector = node.vector
+        if x.new:
+            x.vector = node.vector.copy()
+            for f in x.new:
                 for salt in ("", "2 "):
-                    k, s = _slot(salt + f, PATH_SLOTS)
-                    out[TAG_SLOTS + k] += s
-    return out
+                    k = _slot(salt + f, PATH_SLOTS)
+                    x.vector[k % PATH_SLOTS] += 1 if k < PATH_SLOTS else -1
+        node = x
+    return node.vector
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: tag-path hashes, hashed words, and plain numbers."""
+    """A row for each block: tag-path hashes, hashed words (all of them), and plain numbers."""
     n = len(blocks)
     out = np.zeros((n, WIDTH), np.float32)
+    codes: list[int] = []
+    lengths = np.zeros(n, np.int64)
     for i, b in enumerate(blocks):
-        out[i, : TAG_SLOTS + PATH_SLOTS] = _path(b.path)
+        k = _slot(f"inner {b.node.inner}", TAG_SLOTS)
+        out[i, k % TAG_SLOTS] += 1 if k < TAG_SLOTS else -1
+        out[i, TAG_SLOTS : TAG_SLOTS + PATH_SLOTS] = _path(b.node)
         text = b.text
-        words = text.split(" ", 12)[:12]  # words are hashed from the block's head; its length and marks count whole
-        for w in words:
-            k, s = _slot(w.lower()[:24], WORD_SLOTS)
-            out[i, TAG_SLOTS + PATH_SLOTS + k] += s / len(words)
+        words = text.lower().split(" ")
+        codes += [_slot(w, WORD_SLOTS) for w in words]
+        lengths[i] = len(words)
         size = len(text)
-        blanks = text.count(" ")
         p = out[i, -PLAIN:]
         p[0] = np.log1p(size) / 4
         p[1] = b.linked / size
-        p[2] = np.log1p(blanks) / 3
+        p[2] = np.log1p(len(words) - 1) / 3
         p[3] = min(1.0, 20 * (text.count(".") + text.count(",")) / size)
         p[4] = text[-1] in ".!?…:\""
-        p[5] = len(b.path) / 10
+        p[5] = np.log1p(b.node.depth) / 2
         p[6] = i / n
         p[7] = min(1.0, n / 50)
         p[8] = i == 0
         p[9] = i == n - 1
+    if n:
+        both = np.bincount(np.repeat(np.arange(n), lengths) * 2 * WORD_SLOTS + np.array(codes), minlength=n * 2 * WORD_SLOTS).reshape(n, 2, WORD_SLOTS)
+        out[:, TAG_SLOTS + PATH_SLOTS : -PLAIN] = (both[:, 0] - both[:, 1]) / lengths[:, None]
     return out
 
 
@@ -88,24 +97,21 @@ class Generator:
     TAGS = {"header": ["header", "div"], "nav": ["nav", "div", "ul"], "ad": ["div", "aside", "ins", "section", "p"], "notice": ["div", "aside", "section", "dialog", "p"], "sidebar": ["aside", "div", "section"], "comments": ["section", "div", "ol", "ul"], "footer": ["footer", "div"], "form": ["form"], "article": ["article", "main", "div", "section"]}
 
     def __init__(self, seed: int):
-        self.r = np.random.default_rng(seed)
-        self.syllables = ["".join(self.r.choice(list("abcdefghijklmnopqrstuvwxyzéüñ"), 1 + self.r.integers(1, 4))) for _ in range(400)]
+        self.r = random.Random(seed)
+        self.syllables = ["".join(self.r.choices("abcdefghijklmnopqrstuvwxyzéüñ", k=1 + self.r.randrange(1, 4))) for _ in range(400)]
 
     def pick(self, xs):
-        return xs[self.r.integers(len(xs))]
+        return self.r.choice(xs)
 
     def word(self) -> str:
-        return "".join(self.pick(self.syllables) for _ in range(self.r.integers(1, 4)))
+        return "".join(self.r.choices(self.syllables, k=self.r.randrange(1, 4)))
 
     def words(self, lo: int, hi: int) -> str:
-        out = [self.word() for _ in range(self.r.integers(lo, hi + 1))]
+        out = [self.word() for _ in range(self.r.randrange(lo, hi + 1))]
         style = self.r.random()
-        if style < 0.07:
-            out = [w + self.pick(["***", "###", "&amp;&amp;", "$$$"]) for w in out]
-        elif style < 0.12:
-            out = [w.upper() + "!!" for w in out]
-        elif style < 0.17:
-            out = [x for w in out for x in (w, "|")]
+        if style < 0.15:  # marks between or after words, any of ASCII's
+            mark = self.pick(["&amp;", *"!#$%*+-/:;=?@^_|~"]) * self.r.randrange(1, 4)
+            out = [x for w in out for x in (w, mark)] if style < 0.05 else [(w.upper() if style < 0.1 else w) + mark for w in out]
         else:
             out = [w + (self.pick([",", ".", "", "", "", "", "", ""])) for w in out]
         return " ".join(out).capitalize() + (self.pick([".", ".", ".", "", "!"]))
@@ -124,32 +130,32 @@ class Generator:
             return f"<b>{text}" + ("</b>" if self.r.random() < 0.5 else "<br>")
         if x < 0.25:
             ws = text.split(" ")
-            i = self.r.integers(len(ws))
-            ws[i] = f'<a href="/{self.r.integers(99)}">{ws[i]}</a>' if self.r.random() < 0.6 else f"<em>{ws[i]}</em>"
+            i = self.r.randrange(len(ws))
+            ws[i] = f'<a href="/{self.r.randrange(99)}">{ws[i]}</a>' if self.r.random() < 0.6 else f"<em>{ws[i]}</em>"
             return " ".join(ws)
         return text
 
     def links(self, lo: int, hi: int) -> str:
-        n = self.r.integers(lo, hi + 1)
+        n = self.r.randrange(lo, hi + 1)
         item = self.pick(["li", "li", "span", "div", ""])
         out = "".join((f"<{item}>" if item else "") + f'<a href="/{i}">{self.words(1, 3) if self.r.random() < 0.3 else self.word()}</a>' + (f"</{item}>" if item and (item != "li" or self.r.random() < 0.7) else " ") for i in range(n))
         return f"<ul>{out}</ul>" if item == "li" else out
 
     def paragraphs(self, lo: int, hi: int) -> str:
         out = []
-        for _ in range(self.r.integers(lo, hi + 1)):
+        for _ in range(self.r.randrange(lo, hi + 1)):
             x, size = self.r.random(), (1, 4) if self.r.random() < 0.25 else (5, 60)
             t = self.inline(self.words(*size))
             if x < 0.78:
                 out.append(f"<p>{t}" + ("</p>" if self.r.random() < 0.8 else ""))
             elif x < 0.84:
-                out.append(f"<h{self.r.integers(2, 5)}>{self.words(1, 8)}</h2>")
+                out.append(f"<h{self.r.randrange(2, 5)}>{self.words(1, 8)}</h2>")
             elif x < 0.89:
-                out.append("<ul>" + "".join(f"<li>{self.inline(self.words(2, 15))}</li>" for _ in range(self.r.integers(1, 6))) + "</ul>")
+                out.append("<ul>" + "".join(f"<li>{self.inline(self.words(2, 15))}</li>" for _ in range(self.r.randrange(1, 6))) + "</ul>")
             elif x < 0.93:
                 out.append(f"<blockquote>{t}</blockquote>")
             elif x < 0.96:
-                out.append("<table>" + "".join(f"<tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr>" for _ in range(self.r.integers(1, 4))) + "</table>")
+                out.append("<table>" + "".join(f"<tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr>" for _ in range(self.r.randrange(1, 4))) + "</table>")
             else:
                 out.append(f"<pre>{t}</pre>")
         return "".join(out)
@@ -161,9 +167,9 @@ class Generator:
             "header": lambda: f"<h1>{self.words(1, 5)}</h1>" * (self.r.random() < 0.5) + f"<p>{self.words(2, 10)}</p>" * (self.r.random() < 0.5) + self.links(1, 5) * (self.r.random() < 0.5),
             "nav": lambda: self.links(2, 10),
             "ad": lambda: self.words(2, 40) if self.r.random() < 0.6 else f"<p>{self.words(3, 30)}</p><a href='/x'>{self.words(1, 4)}</a>",
-            "notice": lambda: self.pick(["", "<p>"]) + self.words(5, 40) + self.pick(["", "<button>" + self.word() + "</button>", f"<a href='/p'>{self.word()}</a>"]),
+            "notice": lambda: f"<noscript>{self.words(3, 20)}</noscript>" if self.r.random() < 0.1 else self.pick(["", "<p>"]) + self.words(5, 40) + self.pick(["", "<button>" + self.word() + "</button>", f"<a href='/p'>{self.word()}</a>"]),
             "sidebar": lambda: f"<h3>{self.words(1, 4)}</h3>" * (self.r.random() < 0.7) + (self.links(2, 8) if self.r.random() < 0.6 else self.paragraphs(1, 3)),
-            "comments": lambda: f"<h3>{self.words(1, 3)}</h3>" * (self.r.random() < 0.6) + "".join(f"<{t}{self.attributes('comments', 0.3)}><p>{self.words(3, 40)}</p></{t}>" for t in [self.pick(["div", "li", "article"])] for _ in range(self.r.integers(1, 5))),
+            "comments": lambda: f"<h3>{self.words(1, 3)}</h3>" * (self.r.random() < 0.6) + "".join(f"<{t}{self.attributes('comments', 0.3)}><p>{self.words(3, 40)}</p></{t}>" for t in [self.pick(["div", "li", "article"])] for _ in range(self.r.randrange(1, 5))),
             "footer": lambda: f"&copy; {self.words(2, 20)}" if self.r.random() < 0.5 else f"<p>{self.words(2, 25)}</p>{self.links(1, 5)}",
             "form": lambda: f"<label>{self.words(1, 4)}</label><input name=q>" + f"<p>{self.words(2, 12)}</p>" * (self.r.random() < 0.4) + f"<button>{self.word()}</button>",
         }[kind]()
@@ -173,10 +179,10 @@ class Generator:
         """The article; its own blocks stand between marks."""
         tag = self.pick(["article", "article", *self.TAGS["article"]])
         bare = 0.6 if tag in ("article", "main") else 0.1
-        body = [f"\x01{self.paragraphs(1, 4)}\x02" for _ in range(self.r.integers(1, 6))]
+        body = [f"\x01{self.paragraphs(1, 4)}\x02" for _ in range(self.r.randrange(1, 6))]
         for kind, p in (("ad", 0.2), ("sidebar", 0.12), ("form", 0.08), ("notice", 0.08), ("nav", 0.05)):
             if self.r.random() < p:
-                body.insert(self.r.integers(len(body) + 1), self.part(kind))
+                body.insert(self.r.randrange(len(body) + 1), self.part(kind))
         title = f"\x01<h1>{self.words(1, 10)}</h1>\x02" if self.r.random() < 0.8 else ""
         if self.r.random() < 0.2:
             title = f"<header>{title}</header>"
