@@ -52,31 +52,32 @@ def features(blocks: list[Block]) -> np.ndarray:
     """A row for each block: tag-path hashes, hashed words (all of them), and plain numbers."""
     n = len(blocks)
     out = np.zeros((n, WIDTH), np.float32)
+    if not n:
+        return out
     codes: list[int] = []
-    lengths = np.zeros(n, np.int64)
-    for i, b in enumerate(blocks):
-        k = _slot(f"inner {b.node.inner}", TAG_SLOTS)
-        out[i, k % TAG_SLOTS] += 1 if k < TAG_SLOTS else -1
-        out[i, TAG_SLOTS : TAG_SLOTS + PATH_SLOTS] = _path(b.node)
+    counted, inner = [], []
+    for b in blocks:
         text = b.text
         words = text.lower().split(" ")
         codes += [_slot(w, WORD_SLOTS) for w in words]
-        lengths[i] = len(words)
-        size = len(text)
-        p = out[i, -PLAIN:]
-        p[0] = np.log1p(size) / 4
-        p[1] = b.linked / size
-        p[2] = np.log1p(len(words) - 1) / 3
-        p[3] = min(1.0, 20 * (text.count(".") + text.count(",")) / size)
-        p[4] = text[-1] in ".!?…:\""
-        p[5] = np.log1p(b.node.depth) / 2
-        p[6] = i / n
-        p[7] = min(1.0, n / 50)
-        p[8] = i == 0
-        p[9] = i == n - 1
-    if n:
-        both = np.bincount(np.repeat(np.arange(n), lengths) * 2 * WORD_SLOTS + np.array(codes), minlength=n * 2 * WORD_SLOTS).reshape(n, 2, WORD_SLOTS)
-        out[:, TAG_SLOTS + PATH_SLOTS : -PLAIN] = (both[:, 0] - both[:, 1]) / lengths[:, None]
+        inner.append(_slot(f"inner {b.node.inner}", TAG_SLOTS))
+        counted.append((len(text), b.linked, len(words), text.count(".") + text.count(","), text[-1] in ".!?…:\"", b.node.depth))
+    at, inner = np.arange(n), np.array(inner)
+    size, linked, length, marks, ended, depth = np.array(counted).T
+    out[at, inner % TAG_SLOTS] = np.where(inner < TAG_SLOTS, 1, -1)
+    out[:, TAG_SLOTS : TAG_SLOTS + PATH_SLOTS] = [_path(b.node) for b in blocks]
+    both = np.bincount(np.repeat(at, length) * 2 * WORD_SLOTS + np.array(codes), minlength=n * 2 * WORD_SLOTS).reshape(n, 2, WORD_SLOTS)
+    out[:, TAG_SLOTS + PATH_SLOTS : -PLAIN] = (both[:, 0] - both[:, 1]) / length[:, None]
+    p = out[:, -PLAIN:]
+    p[:, 0] = np.log1p(size) / 4
+    p[:, 1] = linked / size
+    p[:, 2] = np.log1p(length - 1) / 3
+    p[:, 3] = np.minimum(1.0, 20 * marks / size)
+    p[:, 4] = ended
+    p[:, 5] = np.log1p(depth) / 2
+    p[:, 6] = at / n
+    p[:, 7] = min(1.0, n / 50)
+    p[0, 8] = p[-1, 9] = 1
     return out
 
 
