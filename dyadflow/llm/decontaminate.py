@@ -16,42 +16,74 @@ from dyadflow.llm.rows import without
 from dyadflow.session import table
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast; a larger benchmark is scanned for in several passes.
-PASS_BYTES = 64 << 20
+#: Bytes of benchmark text in one broadcast, some six times as many in memory; a larger benchmark is scanned for in several passes.
+PASS_BYTES = 32 << 20
 _BITS = 22
 
 
 class Windows:
-    """The windows of some benchmark items: sorted hashes for each length, a bit table before them, and the words to verify hits."""
+    """The windows of some benchmark items: for each length sorted hashes with a bit table before them, each hash with its first
+    word's number; and the items' lowered texts with the words' places, to verify hits. Numbers and texts are arrays: 28
+    bytes a word beside the texts."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        self.at: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item, text in items:
-            raw = (text or "").encode()
-            w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
-            if n := min(size, len(w)):
-                for i, h in enumerate(w.windows(n).tolist()):
-                    self.at[n][h][w.text(i, i + n)].add(item)
-        self.at = {n: {h: dict(v) for h, v in x.items()} for n, x in self.at.items()}
-        self.hashes, self.bits = {}, {}
-        for n, x in self.at.items():
-            self.hashes[n] = np.sort(np.fromiter(x, np.uint64, len(x)))
-            self.bits[n] = np.zeros(1 << _BITS, bool)
-            self.bits[n][self.hashes[n] >> np.uint64(64 - _BITS)] = True
+        self.items = [i for i, _ in items]
+        low, starts, ends, counts, base, words = [], [], [], [], 0, 0
+        hashes: dict[int, list[np.ndarray]] = defaultdict(list)
+        places: dict[int, list[np.ndarray]] = defaultdict(list)
+        for _, _, data, offsets in blocks(pa.array([t for _, t in items], pa.large_string())):
+            w = Words(data, offsets, ALNUM)
+            n = w.counts()
+            for length in np.unique(np.minimum(n, size)[n > 0]).tolist():
+                if length == size:
+                    at = np.flatnonzero(w.whole(size))
+                else:
+                    at = w.first[:-1][n == length]
+                hashes[length].append(w.windows(length)[at])
+                places[length].append(at + words)
+            low.append(w.low)
+            starts.append(w.starts + base)
+            ends.append(w.ends + base)
+            counts.append(n)
+            base, words = base + len(data), words + len(w)
+        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+        self.low, self.starts, self.ends = (join(low).astype(np.uint8), join(starts), join(ends))
+        self.first = np.concatenate([[0], np.cumsum(join(counts))])
+        self.hashes, self.places, self.bits, self.shift = {}, {}, {}, {}
+        for length in hashes:
+            h, at = np.concatenate(hashes[length]), np.concatenate(places[length])
+            order = np.argsort(h, kind="stable")
+            self.hashes[length], self.places[length] = h[order], at[order].astype(np.int32)
+            bits = min(_BITS, max(10, len(h).bit_length() + 5))
+            self.shift[length] = np.uint64(64 - bits)
+            self.bits[length] = np.zeros(1 << bits, bool)
+            self.bits[length][h >> self.shift[length]] = True
+
+    def text(self, a: int, b: int) -> bytes:
+        """Words a to b - 1 with a blank between."""
+        return b" ".join(self.low[s:e].tobytes() for s, e in zip(self.starts[a:b], self.ends[a:b], strict=True))
 
     def hits(self, w: Words) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, words, items) for each occurrence, verified word by word."""
         for n, known in self.hashes.items():
             got = w.windows(n)
-            here = np.flatnonzero(self.bits[n][got >> np.uint64(64 - _BITS)])
+            here = np.flatnonzero(self.bits[n][got >> self.shift[n]])
             if not len(here):
                 continue
-            h = got[here]
-            here = here[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
-            here = here[w.whole(n)[here]]
-            at = self.at[n]
-            for i in here.tolist():
-                if items := at[int(got[i])].get(w.text(i, i + n)):
+            lo = np.searchsorted(known, got[here])
+            here, lo = here[lo < len(known)], lo[lo < len(known)]
+            same = known[lo] == got[here]
+            here, lo = here[same], lo[same]
+            inside = w.whole(n)[here]
+            here, lo = here[inside], lo[inside]
+            hi = np.searchsorted(known, got[here], "right")
+            verified: dict[tuple[int, bytes], set[str]] = {}
+            for i, a, b in zip(here.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                text = w.text(i, i + n)
+                if (a, text) not in verified:
+                    at = [p for p in self.places[n][a:b].tolist() if self.text(p, p + n) == text]
+                    verified[a, text] = {self.items[k] for k in (np.searchsorted(self.first, at, "right") - 1).tolist()}
+                if items := verified[a, text]:
                     yield i, n, items
 
 
