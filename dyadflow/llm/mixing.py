@@ -181,17 +181,19 @@ def _raked_by_shuffles(cells: DataFrame, sweeps: int, tolerance: float) -> DataF
         if (cells.agg(F.max("off")).first()[0] or 0.0) <= tolerance if done else False:
             break
         for m in MARGINS:
-            by = Window.partitionBy(m)
-            held = F.sum(F.when(F.col("q") >= 1, F.col("total")).otherwise(0.0)).over(by)
-            free = F.sum(F.when(F.col("q") < 1, F.col("total") * F.col("q")).otherwise(0.0)).over(by)
-            cells = cells.withColumn("q", F.col("q") * _factor(F.col(f"goal_{m}"), held, free))
+            held = F.sum(F.when(F.col("q") >= 1, F.col("total")).otherwise(0.0))
+            free = F.sum(F.when(F.col("q") < 1, F.col("total") * F.col("q")).otherwise(0.0))
+            factors = cells.groupBy(m).agg(_factor(F.first(f"goal_{m}"), held, free).alias("a"))
+            cells = cells.join(factors, m).withColumn("q", F.col("q") * F.col("a")).drop("a")
         cells = cut(_with_residual(cells.drop("off")).withColumnRenamed("residual", "off"))
     return cells.drop("off")
 
 
 def _with_residual(cells: DataFrame) -> DataFrame:
-    got = lambda m: F.sum(F.col("total") * F.least("q", F.lit(1.0))).over(Window.partitionBy(m))
-    return cells.withColumn("residual", F.greatest(*(_off(F.col(f"goal_{m}"), got(m)) for m in MARGINS)))
+    for m in MARGINS:
+        off = _off(F.first(f"goal_{m}"), F.sum(F.col("total") * F.least("q", F.lit(1.0))))
+        cells = cells.join(cells.groupBy(m).agg(off.alias(f"off_{m}")), m)
+    return cells.withColumn("residual", F.greatest(*(f"off_{m}" for m in MARGINS))).drop(*(f"off_{m}" for m in MARGINS))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rate: float = RATE, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
