@@ -20,6 +20,9 @@ from dyadflow.llm.bytetext import mix, powers
 from dyadflow.session import table
 
 BINS = 64
+#: Bytes of texts in one range, and how many ranges there are at most.
+RANGE_BYTES, MAX_RANGES = 64 << 20, 20_000
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _BLOCK_CHARS = 1 << 18
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -128,7 +131,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not own:
             return None
         texts = [r[3] for r in rows]
-        first, edited, new = _with_edits([texts[i] for i in own], [texts[i + 1] for i in own])
+        pairs = {p: k for k, p in enumerate(dict.fromkeys((texts[i], texts[i + 1]) for i in own))}  # equal ones once
+        of = [pairs[texts[i], texts[i + 1]] for i in own]
+        first, edited, new = _with_edits([t for t, _ in pairs], [t for _, t in pairs])
+        first, edited, new = first[of], edited[of], [new[k] for k in of]
         after = [i + 1 for i in own]
         place = {i: k for k, i in enumerate(own)}
         missing = [i for i in after if i not in place]
@@ -172,34 +178,65 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     next text's first as many (or all it has). A null text is empty; two texts without phrases are alike (1.0), one with and
     one without aren't (0.0). One row alone is its own next. Columns of other names aren't read; an empty table gives no rows.
 
-    Rows are dealt by ranges of doc_id whose bounds are ids that occur; the row at a bound also goes, as a peek, to the
-    range before it. So texts move once, and a task holds a block of rows.
+    Rows are dealt by ranges of (doc_id, hash of the text) whose bounds are rows that occur; the row at a bound also goes, as a
+    peek, to the range before it. So texts move once, and a task holds a block of rows. There are as many ranges as the
+    texts' bytes need, MAX_RANGES at most, a partition each; an id with more rows than a range should have is cut by the
+    hash, so only rows that are equal in both must share a range, and equal rows in a row are parsed once.
     """
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    cuts = [k / n for k in range(n)]
-    found = rows.agg(F.min(key).alias("least"), F.percentile_approx(key, cuts, 100 * n).alias("p")).first()
-    if found.least is None:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    bounds = sorted({found.least, *found.p})
-    at = F.array(*(F.lit(b) for b in bounds))
+    key, mark = F.coalesce("doc_id", F.lit(-(2**63))), F.xxhash64("text")
+    total = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not total.rows:
+        return spark.createDataFrame([], SCHEMA)
+    n = min(MAX_RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total.bytes // RANGE_BYTES)))
+    bounds = _bounds(rows.select(key.alias("key"), mark.alias("mark")), n, total.rows)
+    numbers = _lone_numbers(spark, len(bounds))
+    dealt = _in_ranges(rows.withColumns({"key": key, "mark": mark}), bounds)
+    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("peek"))
+    before = F.struct(F.when(F.col("bucket") == 0, F.lit(len(bounds) - 1)).otherwise(F.col("bucket") - 1).alias("bucket"), F.lit(1).alias("peek"))
+    bound = F.col("bounds")[F.col("bucket")]
+    copies = F.when((bound["key"] == F.col("key")) & (bound["mark"] == F.col("mark")), F.array(own, before)).otherwise(F.array(own))
+    dealt = dealt.select(F.explode(copies).alias("c"), "doc_id", "mark", "text").select("c.bucket", "c.peek", "doc_id", "mark", "text")
+    dealt = dealt.withColumn("to", F.array(*map(F.lit, numbers))[F.col("bucket")])
+    dealt = dealt.repartition(len(bounds), "to").sortWithinPartitions("bucket", "peek", "doc_id", "mark")
+    return dealt.select("bucket", "peek", "doc_id", "text").mapInArrow(_neighbours, SCHEMA)
+
+
+_LEAST = -(2**63)
+
+
+def _in_ranges(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """rows(key, mark, ...) with bounds, an array of them, and bucket: the number of the last bound that isn't above the row."""
     steps = F.sequence(F.lit(1), F.lit(max(1, len(bounds).bit_length())))
 
-    def narrow(s, _):  # the last bound that isn't above the key lies in [lo, hi)
+    def narrow(s, _):  # the bound lies in [lo, hi)
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.col("bounds")[mid] <= F.col("key")
+        b = F.col("bounds")[mid]
+        below = (b["key"] < F.col("key")) | ((b["key"] == F.col("key")) & (b["mark"] <= F.col("mark")))
         return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
 
     search = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), narrow)["lo"]
-    dealt = rows.withColumns({"key": key, "bounds": at, "mark": F.xxhash64("text")}).withColumn("bucket", search)
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("peek"))
-    before = F.struct(F.when(F.col("bucket") == 0, F.lit(len(bounds) - 1)).otherwise(F.col("bucket") - 1).alias("bucket"), F.lit(1).alias("peek"))
-    copies = F.when(F.col("bounds")[F.col("bucket")] == F.col("key"), F.array(own, before)).otherwise(F.array(own))
-    dealt = dealt.select(F.explode(copies).alias("c"), "doc_id", "mark", "text").select("c.bucket", "c.peek", "doc_id", "mark", "text")
-    dealt = dealt.repartition(max(n, len(bounds)), "bucket").sortWithinPartitions("bucket", "peek", "doc_id", "mark")
-    return dealt.select("bucket", "peek", "doc_id", "text").mapInArrow(_neighbours, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    at = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(m).alias("mark")) for k, m in bounds))
+    return rows.withColumn("bounds", at).withColumn("bucket", search)
+
+
+def _bounds(rows: DataFrame, n: int, total: int) -> list[tuple[int, int]]:
+    """The first (key, mark) of each of about n ranges of rows(key, mark), in order; the first of all is one. Percentiles are
+    doubles, so they only part the rows; the bounds are the least rows of the parts."""
+    cuts = [k / n for k in range(n)]
+    parts = {(k, _LEAST) for k in (_LEAST, *rows.agg(F.percentile_approx("key", cuts, 100 * n)).first()[0])}
+    hot = rows.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") * n > 2 * total)  # n / 2 at most
+    within = rows.join(F.broadcast(hot.select("key")), "key").groupBy("key").agg(F.percentile_approx("mark", cuts, 100 * n).alias("p"))
+    parts |= {(r["key"], r["mark"]) for r in within.select("key", F.explode("p").alias("mark")).collect()}
+    firsts = _in_ranges(rows, sorted(parts)).groupBy("bucket").agg(F.min(F.struct("key", "mark")).alias("x"))
+    return sorted((r.x["key"], r.x["mark"]) for r in firsts.collect())
+
+
+def _lone_numbers(spark: SparkSession, n: int) -> list[int]:
+    """n numbers whose hashes deal them to n partitions, one each."""
+    tried = spark.range(64 * n + 64).select("id", F.pmod(F.hash(F.col("id")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
+    return [r.id for r in tried.orderBy("p").collect()]
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

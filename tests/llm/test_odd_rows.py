@@ -1,8 +1,11 @@
 """Null ids, repeated rows, clashing names, and texts longer than a block, for each operator that reads documents."""
 
+import hashlib
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from dyadflow.llm import lines
+from dyadflow.llm import lines, phrases
 
 DOCS = "doc_id long, text string"
 
@@ -22,3 +25,23 @@ def test_lines_count_documents_by_id(spark):
     got = lines.drop_frequent_lines(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((r.doc_id, r.n_dropped) for r in got if r.n_dropped) == [(100 + k, 1) for k in range(8)] + [(200, 1), (300, 1)]
     assert {r.kept for r in got if r.doc_id == 300} == {"last"} and all(len(r.kept) == 400_000 for r in got if r.doc_id in range(100, 108))
+
+
+def test_fingerprints_of_hot_and_large_ids(spark, monkeypatch):
+    """An id with a third of all rows, equal rows, null ids, and ids that doubles can't hold, over many ranges."""
+    monkeypatch.setattr(phrases, "RANGE_BYTES", 1 << 12)
+    rows = [(7, f"hot {k} " + "ab c" * (k % 50)) for k in range(60)] + [(2**62 + k, f"text {k}") for k in range(60)] + [(None, "nothing"), (None, None), (3, "x y " * 90_000)]
+    rows += [(2**62 + 5, "text 5")] * 20
+    d = spark.createDataFrame(rows, DOCS).repartition(5)
+    marks = {r.text: r.m for r in d.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("m")).distinct().collect()}
+    want = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, marks[r[1]]))
+    follow = {}
+    for k, (i, t) in enumerate(want):
+        follow.setdefault((i, t), []).append(want[(k + 1) % len(want)][1])
+    expected = Counter()
+    for (i, t), nexts in follow.items():
+        for n in nexts:
+            m = len(t) // 2
+            expected[i, len(t), hashlib.sha256((t[: len(t) - m] + n[:m]).encode()).hexdigest()] += 1
+    got = phrases.fingerprint_rows(clashing(d)).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == expected
