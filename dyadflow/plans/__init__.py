@@ -1,3 +1,3 @@
 """The registered queries."""
 
-from dyadflow.plans import coupling, ingest, models, patterns, relations, reports, sequences, statistics  # noqa: F401
+from dyadflow.plans import analysis, coupling, ingest, models, patterns, relations, reports, sequences, statistics  # noqa: F401

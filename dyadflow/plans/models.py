@@ -52,7 +52,17 @@ def hmm_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("session_id", "n_steps", text.alias("path"), F.aggregate("path", F.lit(0).cast("long"), lambda a, x: a + x).alias("in_state_1"))
 
 
-@query()
+def _back(i: int) -> str:
+    return f"({_A[i, 0]} * {_emit(0)} * b0 + {_A[i, 1]} * {_emit(1)} * (1 - b0))"
+
+
+@query(f"""WITH RECURSIVE {STEPS}, n AS (SELECT session_id, any_value(dyad_id) AS dyad_id, count(*) AS n_steps FROM steps GROUP BY session_id),
+f AS (SELECT session_id, 0::BIGINT AS pos, {_PI[0]} * {_emit(0)} / ({_PI[0]} * {_emit(0)} + {_PI[1]} * {_emit(1)}) AS a0 FROM steps AS s WHERE pos = 0
+UNION ALL SELECT session_id, pos, x / (x + y) FROM (SELECT s.session_id, s.pos, (a0 * {_A[0, 0]} + (1 - a0) * {_A[1, 0]}) * {_emit(0)} AS x, (a0 * {_A[0, 1]} + (1 - a0) * {_A[1, 1]}) * {_emit(1)} AS y FROM f JOIN steps AS s ON s.session_id = f.session_id AND s.pos = f.pos + 1)),
+b AS (SELECT session_id, n_steps - 1 AS pos, 0.5::DOUBLE AS b0 FROM n
+UNION ALL SELECT session_id, pos, x / (x + y) FROM (SELECT s.session_id, s.pos - 1 AS pos, {_back(0)} AS x, {_back(1)} AS y FROM b JOIN steps AS s ON s.session_id = b.session_id AND s.pos = b.pos WHERE s.pos > 0)),
+g AS (SELECT session_id, avg(a0 * b0 / (a0 * b0 + (1 - a0) * (1 - b0))) AS o FROM f JOIN b USING (session_id, pos) GROUP BY session_id)
+SELECT session_id, dyad_id, n_steps, {r6("o")} AS occ_0, {r6("1 - o")} AS occ_1 FROM n JOIN g USING (session_id)""")
 def hmm_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounding(hmm.occupancy_wide(hmm.decoded(sessions(spark, sf_dir), MODEL), 2, "session_id", "dyad_id"))
 

@@ -10,7 +10,7 @@ from dyadflow.operators import recurrence, rollup
 from dyadflow.plans.patterns import EP, _rqa, episode_steps
 from dyadflow.plans.registry import query
 from dyadflow.plans.steps import EPISODES, STEPS, r6, runs_sql, steps
-from dyadflow.session import table
+from dyadflow.session import cut, table
 
 
 def rounding(d: DataFrame) -> DataFrame:
@@ -128,34 +128,39 @@ def dyad_pairs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounding(pairs.select("a.dyad_id", F.col("a.session_id").alias("a"), F.col("b.session_id").alias("b"), far.alias("distance")))
 
 
-_PAIRS = 200
+_PAIRS = 1000
 
 
 @query(f"""WITH {STEPS}, s AS (SELECT DISTINCT session_id, dyad_id FROM steps), n AS (SELECT *, row_number() OVER (ORDER BY session_id) - 1 AS r, count(*) OVER () AS c FROM s),
-k AS (SELECT d, cast('0x' || substr(md5('a|' || d), 1, 8) AS BIGINT) AS x, cast('0x' || substr(md5('b|' || d), 1, 8) AS BIGINT) AS y FROM unnest(range({8 * _PAIRS})) AS t(d)),
+k AS (SELECT d, cast('0x' || substr(md5('a|' || d), 1, 8) AS BIGINT) AS x, cast('0x' || substr(md5('b|' || d), 1, 8) AS BIGINT) AS y FROM unnest(range({64 * _PAIRS})) AS t(d)),
 p AS (SELECT d, a.session_id AS a, b.session_id AS b FROM k JOIN n AS a ON a.r = x % a.c JOIN n AS b ON b.r = y % b.c WHERE a.dyad_id <> b.dyad_id)
 SELECT a, b FROM p ORDER BY d LIMIT {_PAIRS}""")
 def random_between_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed number of pairs of sessions of different pairs, drawn by hashes of the draw's number: no pair is built to be
-    thrown away. Sessions get their numbers by an ordered count of ranges."""
+    thrown away. Draws of one pair's sessions don't count; rounds of draws, each twice as many, go on until there are enough.
+    Sessions get their numbers by an ordered count of ranges. Sessions of one pair only give no rows."""
     from dyadflow.operators.stats import average_ranks
 
     s = steps(spark, sf_dir).select("session_id", "dyad_id").distinct()
-    n = average_ranks(s, "session_id").select("session_id", "dyad_id", (F.col("rank") - 1).cast("long").alias("r"))
-    c = s.count()
-    draw = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % c
-    k = spark.range(8 * _PAIRS).withColumns({"x": draw("a"), "y": draw("b")})
+    n = cut(average_ranks(s, "session_id").select("session_id", "dyad_id", (F.col("rank") - 1).cast("long").alias("r")))
+    c = n.agg(F.count("*").alias("n"), F.min("dyad_id").alias("lo"), F.max("dyad_id").alias("hi")).first()
+    draw = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % max(c.n, 1)
     side = lambda name, key: n.select(F.col("r").alias(key), F.col("session_id").alias(name), F.col("dyad_id").alias(f"d{name}"))
-    p = k.join(side("a", "x"), "x").join(side("b", "y"), "y").where("da <> db")
-    return p.orderBy("id").limit(_PAIRS).select("a", "b")
+    draws = 2 * _PAIRS
+    while True:
+        k = spark.range(draws if c.n and c.lo != c.hi else 0).withColumns({"x": draw("a"), "y": draw("b")})
+        p = cut(k.join(side("a", "x"), "x").join(side("b", "y"), "y").where("da <> db").select("id", "a", "b"))
+        if not c.n or c.lo == c.hi or p.count() >= _PAIRS:
+            return p.orderBy("id").limit(_PAIRS).select("a", "b")
+        draws *= 2
 
 
 @query(f"""WITH {FEATURES}, g AS (SELECT dyad_id, sum(mean_dwell * length) / sum(length) AS dwell_geom, count(*) AS n_sessions, cast(sum(length) AS BIGINT) AS total_length FROM ft GROUP BY dyad_id)
 SELECT g.dyad_id, n_sessions, total_length, {r6("dwell_geom")} AS dwell_geom, a.session_id AS session_cpl, {r6("a.occ_entropy")} AS entropy_cpl, b.session_id AS session_dir, {r6("b.switching_rate")} AS switching_dir
-FROM g JOIN ft AS a USING (dyad_id) JOIN ft AS b USING (dyad_id) WHERE a.session_id <= 30 AND b.session_id <= 30""")
+FROM g JOIN ft AS a USING (dyad_id) JOIN ft AS b USING (dyad_id)""")
 def geometry_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pair's geometry against two session tables by pair only, so each pair has its sessions squared: as the analysis
-    does it, over all sessions. The SQL beside it joins sessions up to number 30 only and agrees where there are no others."""
+    does it, over all sessions."""
     f = features(spark, sf_dir)
     g = f.groupBy("dyad_id").agg(rollup.weighted_mean("mean_dwell", "length").alias("dwell_geom"), F.count("*").alias("n_sessions"), F.sum("length").alias("total_length"))
     a = f.select("dyad_id", F.col("session_id").alias("session_cpl"), F.col("occ_entropy").alias("entropy_cpl"))

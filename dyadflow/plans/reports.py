@@ -10,7 +10,7 @@ from dyadflow.operators import sequence as S
 from dyadflow.operators.folds import balanced_folds
 from dyadflow.plans.models import MODEL, sessions
 from dyadflow.plans.patterns import EP, _ids, _metrics, _rqa, episode_steps
-from dyadflow.plans.registry import query
+from dyadflow.plans.registry import ORACLES, query
 from dyadflow.plans.relations import FEATURES, _TRANS, features, rounding, transition_matrix
 from dyadflow.plans.steps import EPISODES, STEPS, r6, regimes, steps
 
@@ -70,13 +70,17 @@ def step_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounding(d.groupBy("dyad_id").agg(F.count("gap").alias("n"), F.median("gap").alias("median_gap"), F.max("gap").alias("longest_gap")))
 
 
-@query()
+@query(f"""WITH v AS ({ORACLES["hmm_viterbi"]}), p AS (SELECT session_id, i - 1 AS pos, cast(path[i] AS INT) AS regime FROM v, unnest(range(1, len(path) + 1)) AS t(i))
+SELECT session_id, regime, count(*) AS n, min(pos) AS "first" FROM p GROUP BY session_id, regime""")
 def hmm_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decoded path and each regime's share, in long form."""
     d = hmm.decoded(sessions(spark, sf_dir), MODEL)
     return hmm.paths_long(d, "session_id").groupBy("session_id", "regime").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {STEPS}, g AS (SELECT dyad_id, n, row_number() OVER (ORDER BY n DESC, dyad_id) AS r FROM (SELECT dyad_id, count(DISTINCT session_id) AS n FROM steps GROUP BY dyad_id)),
+a AS (SELECT 0::BIGINT AS r, [0, 0, 0, 0, 0]::BIGINT[] AS load, NULL::BIGINT AS dyad_id, NULL::BIGINT AS fold
+UNION ALL SELECT g.r, list_transform(load, lambda x, i: x + CASE WHEN i = list_position(load, list_min(load)) THEN n ELSE 0 END), g.dyad_id, list_position(load, list_min(load)) - 1 FROM a JOIN g ON g.r = a.r + 1)
+SELECT dyad_id, cast(fold AS INT) AS fold FROM a WHERE r > 0""")
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_folds(steps(spark, sf_dir).select("session_id", "dyad_id").distinct(), "dyad_id")
