@@ -1,9 +1,14 @@
-"""Command line: python -m dyadflow.cli {ingest,coupling,hmm,recurrence,motifs} --config FILE [--set name=value ...]"""
+"""Command line: python -m dyadflow.cli {ingest,coupling,hmm,recurrence,motifs,all} --config FILE [--set name=value ...]
+
+`all` runs the steps after each other that the settings' run_* switches leave on, after ingest where --ingest_config names
+its settings.
+"""
 
 from __future__ import annotations
 
 import argparse
 import ast
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +44,17 @@ def ingest(spark: SparkSession, c: Ingest, clean: bool = False) -> DataFrame:
     return d
 
 
+def steps_of(spark: SparkSession, c: Analysis) -> DataFrame:
+    """The steps of the sessions that the manifest lists, all of them where the settings name none."""
+    d = spark.read.parquet(c.steps)
+    if not c.manifest:
+        return d
+    m = sinks.finished_csv(spark, c.manifest)
+    if m is None:
+        raise FileNotFoundError(f"no manifest at {c.manifest}")
+    return tables.listed(d, m.select(F.col("session_id").cast(d.schema["session_id"].dataType)))
+
+
 def with_folds(steps: DataFrame, group: str, n_splits: int) -> DataFrame:
     s = steps.select("session_id", group).distinct()
     folds = balanced_folds(s, group, n_splits)
@@ -46,55 +62,97 @@ def with_folds(steps: DataFrame, group: str, n_splits: int) -> DataFrame:
 
 
 def coupling(spark: SparkSession, c: Analysis) -> None:
-    d = spark.read.parquet(c.steps)
+    d = steps_of(spark, c)
     runs = [("dyad_id", "", d)]
-    if c.therapist_map:
+    if c.therapist_map and c.run_therapist_grouped:
         named = d.withColumn("video", F.regexp_extract(F.col("dyad_id").cast("string"), "^([0-9]+)", 1).try_cast("int"))
         runs.append(("therapist", "_therapist_grouped_cv", tables.therapist_groups(named, spark.read.csv(c.therapist_map, header=True).withColumn("video_code", F.col("video_code").try_cast("int")), "video")))
     for group, suffix, rows in runs:
         grouped = with_folds(rows, group, c.n_splits)
         s = markov.cross_validated(grouped, F.col("fold"), ("session_id", "dyad_id"), c.alpha, c.n_states).persist()
         one, two = markov.coupling(s), markov.directionality(s)
-        for name, df in (("coupling_results", one), ("coupling_by_dyad", markov.coupling_by_dyad(one)), ("directionality_results", two), ("directionality_by_dyad", markov.directionality_by_dyad(two))):
+        results = {}
+        if c.run_coupling:
+            results |= {"coupling_results": one, "coupling_by_dyad": markov.coupling_by_dyad(one)}
+        if c.run_directionality:
+            results |= {"directionality_results": two, "directionality_by_dyad": markov.directionality_by_dyad(two)}
+        for name, df in results.items():
             sinks.write_result(df, c.out_dir, name, suffix)
         s.unpersist()
     sinks.write_result(spark.createDataFrame([(h,) for h in c.horizons], "horizon int"), c.out_dir, "directionality_horizon")
 
 
+def priors_for(spark: SparkSession, c: Analysis, k: int, signature: str) -> tuple[float, float]:
+    """The priors of the best stored model selection for k states, this run's before others'; without one the first given."""
+    path = f"{c.out_dir}/model_selection"
+    if sinks.exists(spark, path):
+        own = (F.col("run_signature") == signature).cast("int")
+        best = spark.read.parquet(path).where(F.col("k") == k).orderBy(own.desc(), F.desc("mean_ll_per_step"), "alpha_trans", "alpha_emit").first()
+        if best is not None:
+            return best.alpha_trans, best.alpha_emit
+    return c.alpha_trans[0], c.alpha_emit[0]
+
+
+#: Decoding is stored in so many parts, so that a run that broke off goes on with the rest.
+DECODE_PARTS = 8
+
+
+def decode(spark: SparkSession, seqs: DataFrame, model: hmm.Hmm, path: str, signature: str, resume: bool) -> DataFrame:
+    """Decoded sessions under `path`, a part after the other; those that an earlier attempt with the same data and model stored
+    aren't decoded again."""
+    done = sinks.finished(spark, path, signature) if resume else None
+    if done is None:
+        sinks.clear(spark, path)
+    part = F.pmod(F.xxhash64("session_id"), F.lit(DECODE_PARTS))
+    left = seqs if done is None else seqs.join(done.select("session_id"), "session_id", "left_anti")
+    parts = sorted(r.part for r in left.select(part.alias("part")).distinct().collect())
+    for k in parts:
+        sinks.append(hmm.decoded(left.where(part == k), model), path, signature)
+    return spark.read.parquet(path)
+
+
 def fit_hmm(spark: SparkSession, c: Analysis, resume: bool = True, only_k: int | None = None) -> DataFrame:
-    """Cross-validation, selection, refit and decoding; tasks that an earlier attempt finished aren't repeated."""
-    d = with_folds(spark.read.parquet(c.steps), "dyad_id", c.n_splits)
+    """Cross-validation, selection, refit and decoding. Fits are stored as many at a time as run at once, and decoded sessions
+    by parts; an attempt that broke off loses those under way, and the next repeats only what isn't stored."""
+    d = with_folds(steps_of(spark, c), "dyad_id", c.n_splits)
     seqs = hmm.sessions(d, "session_id", "dyad_id", "fold").persist()
     signature = sinks.run_signature(seqs, {k: getattr(c, k) for k in ("n_splits", "k_min", "k_max", "n_iter", "tol", "alpha_trans", "alpha_emit", "n_restarts", "refit_restarts")})
     path = f"{c.out_dir}/restart_results"
+    attempt = "" if resume else f"-{uuid.uuid4().hex[:8]}"
 
     def fitted(tasks: list[tuple]) -> DataFrame:
-        done = sinks.finished(spark, path, signature) if resume else None
-        sinks.append(hmm.fit_tasks(seqs, tasks, done, c.n_iter, c.tol), path, signature)
-        return sinks.finished(spark, path, signature)
+        done = sinks.finished(spark, path, signature + attempt)
+        known = {tuple(r) for r in done.select(*hmm.TASK_KEYS).collect()} if done is not None else set()  # a row for each task at most
+        todo = [t for t in tasks if t[: len(hmm.TASK_KEYS)] not in known]
+        wave = max(1, spark.sparkContext.defaultParallelism)
+        for i in range(0, len(todo), wave):
+            sinks.append(hmm.fit_tasks(seqs, todo[i : i + wave], None, c.n_iter, c.tol), path, signature + attempt)
+        return sinks.finished(spark, path, signature + attempt)
 
     alphas = [(a, b) for a in c.alpha_trans for b in c.alpha_emit]
     if only_k is None:
         fits = fitted(hmm.cv_tasks(range(c.k_min, c.k_max + 1), alphas, c.n_splits, c.n_restarts))
-        table = hmm.selection(fits)
-        sinks.append(table, f"{c.out_dir}/model_selection", signature)
-        best = table.where("rank = 1").first()
+        chosen = hmm.selection(fits)
+        sinks.append(chosen, f"{c.out_dir}/model_selection", signature)
+        if c.save_diagnostics:
+            sinks.write_result(hmm.best_restarts(fits.where("stage = 'cv'")).withColumns({"train_ll_per_step": F.col("train_ll") / F.col("train_steps"), "test_ll_per_step": F.col("test_ll") / F.col("test_steps")}), c.out_dir, "cv_diagnostics")
+        best = chosen.where("rank = 1").first()
         k, at, ae = best.k, best.alpha_trans, best.alpha_emit
     else:
-        k, (at, ae) = only_k, alphas[0]
-    fits = fitted(hmm.refit_tasks(k, at, ae, c.refit_restarts)).where((F.col("stage") == "refit") & (F.col("k") == k))
+        k, (at, ae) = only_k, priors_for(spark, c, only_k, signature)
+    fits = fitted(hmm.refit_tasks(k, at, ae, c.refit_restarts)).where((F.col("stage") == "refit") & (F.col("k") == k) & (F.col("alpha_trans") == at) & (F.col("alpha_emit") == ae))
     row = hmm.best_restarts(fits).first()
     model = hmm.Hmm.from_row(row.asDict())
-    sinks.write_result(spark.createDataFrame([tuple(model.as_row().values())], hmm.FIELDS), c.out_dir, "best_model", f"/K={k}")
-    out = hmm.decoded(seqs, model)
-    sinks.write_result(out, c.out_dir, "decoded_sessions", f"/K={k}")
+    sinks.write_result(spark.createDataFrame([(*model.as_row().values(), at, ae, row.train_ll, signature)], f"{hmm.FIELDS}, alpha_trans double, alpha_emit double, train_ll double, run_signature string"), c.out_dir, "best_model", f"/K={k}")
+    sinks.record(spark, f"{c.out_dir}/run_info/hmm_K={k}", signature=signature, k=k, alpha_trans=at, alpha_emit=ae, selection_metric=c.selection_metric, refit_restarts=c.refit_restarts, resumed=resume)
+    out = decode(spark, seqs, model, f"{c.out_dir}/decoded_sessions/K={k}", sinks.config_hash({"run": signature, "model": model.as_row()})[:16], resume)
     seqs.unpersist()
-    return spark.read.parquet(f"{c.out_dir}/decoded_sessions/K={k}")
+    return out
 
 
 def _episodes(spark: SparkSession, c: Analysis, least: int) -> DataFrame:
     paths = hmm.paths_long(spark.read.parquet(f"{c.out_dir}/decoded_sessions/K={c.hmm_k}"), "session_id")
-    d = spark.read.parquet(c.steps).join(paths, ["session_id", "pos"]).withColumn("x", joint("th", "cl"))
+    d = steps_of(spark, c).join(paths, ["session_id", "pos"]).withColumn("x", joint("th", "cl"))
     return S.in_episodes(d, least)
 
 
@@ -108,6 +166,7 @@ def run_recurrence(spark: SparkSession, c: Analysis) -> DataFrame:
     draws = recurrence.recurrence_by_sequence(nulls.shuffled(d, _EPISODE, c.n_null, seed=c.seed), (*_EPISODE, "draw"), **options)
     out = nulls.compared(observed, draws, _EPISODE, ("rr", "det", "lam"), "shuffle")
     sinks.write_result(out, c.out_dir, "catrqa_episode_results", f"/K={c.hmm_k}")
+    sinks.record(spark, f"{c.out_dir}/run_info/recurrence_K={c.hmm_k}", n_null=c.n_null, n_min=c.n_min, seed=c.seed, **options)
     return out
 
 
@@ -123,13 +182,29 @@ def run_motifs(spark: SparkSession, c: Analysis) -> DataFrame:
         found = found.withColumn("k", F.lit(k))
         out = found if out is None else out.unionByName(found)
     sinks.write_result(out, c.out_dir, "grammar_episode_results", f"/K={c.hmm_k}")
+    sinks.record(spark, f"{c.out_dir}/run_info/motifs_K={c.hmm_k}", ks=c.ks, n_null=c.n_null, top_n=c.top_n, seed=c.seed, min_null_windows=c.min_null_windows, min_null_duration=c.min_null_duration)
     return out
 
 
+def run_all(spark: SparkSession, c: Analysis, before: Ingest | None = None, resume: bool = True, clean: bool = False) -> None:
+    """Every step that the settings leave on, in order."""
+    if before is not None:
+        ingest(spark, before, clean)
+    if c.run_coupling or c.run_directionality:
+        coupling(spark, c)
+    if c.run_hmm:
+        fit_hmm(spark, c, resume)
+    if c.run_recurrence:
+        run_recurrence(spark, c)
+    if c.run_motifs:
+        run_motifs(spark, c)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("step", choices=["ingest", "coupling", "hmm", "recurrence", "motifs"])
+    p.add_argument("step", choices=["ingest", "coupling", "hmm", "recurrence", "motifs", "all"])
     p.add_argument("--config")
+    p.add_argument("--ingest_config")
     p.add_argument("--set", action="append", default=[], metavar="name=value")
     p.add_argument("--clean_output", action="store_true")
     p.add_argument("--no-resume", action="store_true")
@@ -148,7 +223,9 @@ def main(argv: list[str] | None = None) -> None:
         ingest(spark, load(Ingest, a.config, **given), a.clean_output)
         return
     c = load(Analysis, a.config, **given)
-    if a.step == "hmm":
+    if a.step == "all":
+        run_all(spark, c, load(Ingest, a.ingest_config) if a.ingest_config else None, not a.no_resume, a.clean_output)
+    elif a.step == "hmm":
         fit_hmm(spark, c, not a.no_resume, a.refit_only_k)
     else:
         {"coupling": coupling, "recurrence": run_recurrence, "motifs": run_motifs}[a.step](spark, c)

@@ -249,6 +249,7 @@ def fit_distributed(df: DataFrame, k: int, seed: int, n_iter: int = 100, tol: fl
         df.unpersist()
 
 
+TASK_KEYS = ("stage", "k", "alpha_trans", "alpha_emit", "fold", "restart")
 TASKS = "stage string, k int, alpha_trans double, alpha_emit double, fold int, restart int, seed long"
 
 
@@ -261,16 +262,16 @@ def refit_tasks(k: int, alpha_trans: float, alpha_emit: float, restarts: int) ->
 
 
 def fit_tasks(df: DataFrame, tasks: list[tuple], done: DataFrame | None = None, n_iter: int = 150, tol: float = 1e-4) -> DataFrame:
-    """A row for each task (stage, k, priors, fold, restart, seed): the model, train_ll, test_ll and test_steps (of the held
-    out fold, null for a refit). df(fold, T, C). Tasks that `done` has already aren't fitted again. Sessions up to
+    """A row for each task (stage, k, priors, fold, restart, seed): the model, train_ll and train_steps, test_ll and test_steps
+    (of the held out fold, null for a refit). df(fold, T, C). Tasks that `done` has already aren't fitted again. Sessions up to
     MAX_BROADCAST_STEPS steps are broadcast and tasks run in parallel; beyond that the tasks follow each other, each
     distributed."""
     spark = df.sparkSession
     todo = spark.createDataFrame(tasks, TASKS)
-    keys = ["stage", "k", "alpha_trans", "alpha_emit", "fold", "restart"]
+    keys = list(TASK_KEYS)
     if done is not None:
         todo = todo.join(done.select(*keys), keys, "left_anti")
-    schema = f"{TASKS}, train_ll double, test_ll double, test_steps long, {FIELDS.replace('k int, ', '')}"
+    schema = f"{TASKS}, train_ll double, train_steps long, test_ll double, test_steps long, {FIELDS.replace('k int, ', '')}"
     steps = df.agg(F.sum(F.size("T")).alias("n")).first().n or 0
     if steps > MAX_BROADCAST_STEPS:
         rows = []
@@ -278,7 +279,8 @@ def fit_tasks(df: DataFrame, tasks: list[tuple], done: DataFrame | None = None,
             train, test = df.where(F.col("fold") != t.fold), df.where(F.col("fold") == t.fold)
             m, ll = fit_distributed(train, t.k, t.seed, n_iter, tol, t.alpha_trans, t.alpha_emit)
             out = decoded(test, m).agg(F.sum("ll").alias("ll"), F.sum("n_steps").alias("n")).first() if t.fold >= 0 else None
-            rows.append((*t, ll, out and out.ll, out and out.n, m.pi.tolist(), m.a.tolist(), m.pt.tolist(), m.pc.tolist(), m.n_iter))
+            seen = train.where(F.size("T") >= 2).agg(F.sum(F.size("T")).alias("n")).first().n
+            rows.append((*t, ll, seen, out and out.ll, out and out.n, m.pi.tolist(), m.a.tolist(), m.pt.tolist(), m.pc.tolist(), m.n_iter))
         return spark.createDataFrame(rows, schema)
     local = df.select("fold", "T", "C").toPandas()  # MAX_BROADCAST_STEPS steps at most
     held = spark.sparkContext.broadcast((local["fold"].to_numpy(), [(np.asarray(t, np.int8), np.asarray(c, np.int8)) for t, c in zip(local["T"], local["C"], strict=True)]))
@@ -292,7 +294,7 @@ def fit_tasks(df: DataFrame, tasks: list[tuple], done: DataFrame | None = None,
                 test = [s for s, g in zip(seqs, folds, strict=True) if g == t["fold"]]
                 m, ll = fit(train, t["k"], t["seed"], n_iter, tol, t["alpha_trans"], t["alpha_emit"])
                 cv = t["fold"] >= 0
-                out.append({**t, "train_ll": ll, "test_ll": float(log_likelihoods(m, test).sum()) if cv else None, "test_steps": sum(len(s[0]) for s in test) if cv else None, **{k: v for k, v in m.as_row().items() if k != "k"}})
+                out.append({**t, "train_ll": ll, "train_steps": sum(len(s[0]) for s in train if len(s[0]) >= 2), "test_ll": float(log_likelihoods(m, test).sum()) if cv else None, "test_steps": sum(len(s[0]) for s in test) if cv else None, **{k: v for k, v in m.as_row().items() if k != "k"}})
             if out:
                 yield pd.DataFrame(out)
 

@@ -32,6 +32,15 @@ class Ingest:
 class Analysis:
     steps: str = ""
     out_dir: str = ""
+    manifest: str = ""
+    run_coupling: bool = True
+    run_directionality: bool = True
+    run_therapist_grouped: bool = True
+    run_hmm: bool = True
+    run_recurrence: bool = True
+    run_motifs: bool = True
+    selection_metric: str = "ll_per_step"
+    save_diagnostics: bool = False
     n_splits: int = 5
     alpha: float = 1.0
     n_states: int = 3
@@ -58,6 +67,11 @@ class Analysis:
     seed: int = 0
 
 
+    def __post_init__(self) -> None:
+        if self.selection_metric != "ll_per_step":
+            raise ValueError("selection_metric can be ll_per_step only")
+
+
 def load(kind, path: str | None = None, **given: Any):
     """A settings object from a file (none: defaults) and overrides; None overrides nothing, 0 and False do. Unknown names
     are an error."""

@@ -89,6 +89,49 @@ def finished(spark: SparkSession, path: str, signature: str) -> DataFrame | None
         raise
 
 
+def file_sha256(spark: SparkSession, path: str) -> DataFrame:
+    """file and sha256 (hex) of each file that a path or pattern names, read by Spark; a file fits a task."""
+    d = spark.read.format("binaryFile").load(path)
+    return d.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Removes what an earlier run stored at a path, if anything."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def first_complete(spark: SparkSession, folders: list[str], names: tuple[str, ...]) -> str:
+    """The first of the folders that holds all the named results; an error that lists the folders where none does."""
+    for f in folders:
+        if all(exists(spark, f"{f}/{n}") for n in names):
+            return f
+    raise FileNotFoundError(f"no folder with {list(names)} among {folders}")
+
+
+def by_prefix(names: list[str], signature: str | None) -> str | None:
+    """A run's name among stored ones: the signature itself, else the first in order that begins with it."""
+    if not signature:
+        return None
+    return signature if signature in names else next((n for n in sorted(names) if n.startswith(signature)), None)
+
+
+def write_tables(tables: Mapping[str, DataFrame | None], folder: str) -> list[str]:
+    """Each table as CSV with a header under its name, through Spark; tables that are None are left out. Returns the names."""
+    done = []
+    for name, df in tables.items():
+        if df is not None:
+            df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+            done.append(name)
+    return done
+
+
 def write_result(df: DataFrame, folder: str, name: str, suffix: str = "") -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{name}{suffix}")
 

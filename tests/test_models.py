@@ -11,19 +11,19 @@ from dyadflow.operators import hmm, lmm, markov, pca, stats
 from dyadflow.operators.folds import balanced_folds, fold_of
 from dyadflow.session import cut
 
-T = [0, 1, 2, 2, 1, 0, 1, 1]
-C = [1, 2, 0, 1, 1, 2, 0, 1]
-FOUR = {"001_A": ("001", [0, 0, 1, 1, 2, 2], [0, 1, 1, 2, 2, 1]), "001_B": ("001", [0, 1, 0, 1, 2, 1], [1, 1, 0, 2, 1, 2]), "002_A": ("002", [2, 2, 1, 1, 0, 0], [2, 1, 1, 0, 0, 1]), "002_B": ("002", [2, 1, 2, 1, 0, 1], [1, 2, 1, 0, 1, 0])}
+T = [2, 0, 0, 1, 2, 2, 1, 0]
+C = [0, 0, 1, 2, 2, 0, 1, 1]
+FOUR = {"p1": ("p", [1, 1, 2, 0, 0, 1], [2, 1, 1, 0, 2, 2]), "p2": ("p", [0, 2, 2, 1, 0, 0], [0, 0, 1, 1, 2, 0]), "q1": ("q", [2, 1, 0, 0, 1, 2], [1, 2, 2, 0, 0, 1]), "q2": ("q", [1, 0, 1, 2, 2, 0], [0, 1, 2, 1, 0, 2])}
 
 
 @pytest.fixture(scope="module")
 def steps(spark):
-    return spark.createDataFrame([(s, d, i, a, b) for s, (d, t, c) in FOUR.items() for i, (a, b) in enumerate(zip(t, c))] + [("003_A", "003", 0, 1, 1)], "session_id string, dyad_id string, pos long, th int, cl int")
+    return spark.createDataFrame([(s, d, i, a, b) for s, (d, t, c) in FOUR.items() for i, (a, b) in enumerate(zip(t, c))] + [("z1", "z", 0, 1, 1)], "session_id string, dyad_id string, pos long, th int, cl int")
 
 
 def test_cross_validated_coupling(steps):
-    folds = {"001": 0, "002": 1, "003": 1}
-    fold = F.when(F.col("dyad_id") == "001", 0).otherwise(1)
+    folds = {"p": 0, "q": 1, "z": 1}
+    fold = F.when(F.col("dyad_id") == "p", 0).otherwise(1)
     got = {r.session_id: r for r in markov.coupling(markov.cross_validated(steps, fold)).collect()}
     assert set(got) == set(FOUR)
     for s, (d, t, c) in FOUR.items():
@@ -84,7 +84,7 @@ def brute_posterior(m, t, c):
 
 
 def test_hmm_against_all_paths():
-    m = hmm.Hmm.random(3, 21)
+    m = hmm.Hmm.random(3, 4)
     seqs = [(np.array(T), np.array(C)), (np.array(T[:3]), np.array(C[:3])), (np.array([1]), np.array([2])), (np.array([], int), np.array([], int))]
     for (t, c), ll, g, path in zip(seqs, hmm.log_likelihoods(m, seqs), hmm.posteriors(m, seqs), hmm.viterbi(m, seqs), strict=True):
         if not len(t):
@@ -97,7 +97,7 @@ def test_hmm_against_all_paths():
 
 
 def test_expected_counts():
-    m = hmm.Hmm.random(3, 21)
+    m = hmm.Hmm.random(3, 4)
     t, c = np.array(T), np.array(C)
     v = hmm.expected(m, [(t, c), (np.array([0]), np.array([0]))])  # one step doesn't count
     g, _, ll = brute_posterior(m, t, c)
@@ -119,7 +119,7 @@ def test_em_climbs_and_both_fits_agree(spark, steps):
 
 
 def test_fit_tasks_resume_and_select(spark, steps):
-    d = hmm.sessions(steps, "session_id", "dyad_id").withColumn("fold", (F.col("dyad_id") == "001").cast("int"))
+    d = hmm.sessions(steps, "session_id", "dyad_id").withColumn("fold", (F.col("dyad_id") == "p").cast("int"))
     tasks = hmm.cv_tasks((2,), ((1.0, 1.0),), 2, 2)
     fits = cut(hmm.fit_tasks(d, tasks[:3], n_iter=3))
     rest = hmm.fit_tasks(d, tasks, fits, n_iter=3).collect()
@@ -132,7 +132,7 @@ def test_fit_tasks_resume_and_select(spark, steps):
 
 
 def test_distributed_tasks_match(spark, steps, monkeypatch):
-    d = hmm.sessions(steps, "session_id", "dyad_id").withColumn("fold", (F.col("dyad_id") == "001").cast("int"))
+    d = hmm.sessions(steps, "session_id", "dyad_id").withColumn("fold", (F.col("dyad_id") == "p").cast("int"))
     tasks = hmm.cv_tasks((2,), ((1.0, 1.0),), 1, 1)
     a = hmm.fit_tasks(d, tasks, n_iter=3).first()
     monkeypatch.setattr(hmm, "MAX_BROADCAST_STEPS", 0)
