@@ -221,16 +221,31 @@ def _packed_cells(percent: int, width: int, salt: int, common, buckets: int):
 
 
 def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(element, node), once each, of the elements that more than one node has; common ones pass. Those of a node are in one
-    bucket, and together in what a task sends, so of a set that several tasks sent the first to come stays."""
+    """Over packed pairs in order of bucket: (element, node), once each, of the elements that more than one node has; common
+    ones pass. Those of a node are in one bucket, and together in what a task sends, so of a set that several tasks sent
+    the first to come stays. No more than a bucket is held."""
+    now: int | None = None
     held: list[np.ndarray] = []
     seen: set[int] = set()
 
     def out(pairs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["element", "node"])
 
+    def shared() -> Iterator[pa.RecordBatch]:
+        if held:
+            pairs = np.concatenate(held)
+            held.clear()
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            new = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])
+            pairs = pairs[new]
+            first = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0], [True]])
+            yield out(pairs[~(first[:-1] & first[1:])])
+
     for batch in batches:
-        for is_common, raw in zip(batch["common"].to_pylist(), batch["pairs"].to_pylist(), strict=True):
+        for bucket, is_common, raw in zip(batch["bucket"].to_pylist(), batch["common"].to_pylist(), batch["pairs"].to_pylist(), strict=True):
+            if bucket != now:
+                yield from shared()
+                now, seen = bucket, set()
             pairs = np.frombuffer(raw, np.int64).reshape(-1, 2)
             if is_common:
                 own = np.unique(pairs[:, 1])
@@ -239,14 +254,7 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield out(pairs[np.isin(pairs[:, 1], fresh)])
             else:
                 held.append(pairs)
-    if held:
-        pairs = np.concatenate(held)
-        held = []
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        new = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])
-        pairs = pairs[new]
-        first = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0], [True]])
-        yield out(pairs[~(first[:-1] & first[1:])])
+    yield from shared()
 
 
 def meets_elsewhere(element: int, homes: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -366,7 +374,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
 
     buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = texts.mapInArrow(_packed_cells(percent, width, salt, common, buckets), "bucket int, common boolean, pairs binary")
-    cells = kept(packed.repartition("bucket").mapInArrow(_shared_cells, "element long, node long"))
+    cells = kept(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_cells, "element long, node long"))
     same = cells.groupBy("element").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"), F.count("*").alias("k"))
     cells = kept(cells.join(same.where("k > 1").groupBy("x", "y", "k").agg(F.min("element").alias("element")).select("element"), "element"))
     members = cells.select("node").distinct()
