@@ -20,8 +20,8 @@ from dyadflow.llm.bytetext import mix, powers
 from dyadflow.session import table
 
 BINS = 64
-#: Bytes of texts in one range, and how many ranges there are at most.
-RANGE_BYTES, MAX_RANGES = 64 << 20, 20_000
+#: Bytes of texts in one range, how many ranges there are at most, and parts that a range is made of.
+RANGE_BYTES, MAX_RANGES, FINE = 64 << 20, 20_000, 16
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _BLOCK_CHARS = 1 << 18
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -186,11 +186,11 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key, mark = F.coalesce("doc_id", F.lit(-(2**63))), F.xxhash64("text")
-    total = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    total = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text") + 1).alias("bytes")).first()
     if not total.rows:
         return spark.createDataFrame([], SCHEMA)
     n = min(MAX_RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total.bytes // RANGE_BYTES)))
-    bounds = _bounds(rows.select(key.alias("key"), mark.alias("mark")), n, total.rows)
+    bounds = _bounds(rows.select(key.alias("key"), mark.alias("mark"), (F.octet_length("text") + 1).alias("bytes")), n, total)
     numbers = _lone_numbers(spark, len(bounds))
     dealt = _in_ranges(rows.withColumns({"key": key, "mark": mark}), bounds)
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("peek"))
@@ -221,16 +221,24 @@ def _in_ranges(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     return rows.withColumn("bounds", at).withColumn("bucket", search)
 
 
-def _bounds(rows: DataFrame, n: int, total: int) -> list[tuple[int, int]]:
-    """The first (key, mark) of each of about n ranges of rows(key, mark), in order; the first of all is one. Percentiles are
-    doubles, so they only part the rows; the bounds are the least rows of the parts."""
-    cuts = [k / n for k in range(n)]
-    parts = {(k, _LEAST) for k in (_LEAST, *rows.agg(F.percentile_approx("key", cuts, 100 * n)).first()[0])}
-    hot = rows.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") * n > 2 * total)  # n / 2 at most
-    within = rows.join(F.broadcast(hot.select("key")), "key").groupBy("key").agg(F.percentile_approx("mark", cuts, 100 * n).alias("p"))
+def _bounds(rows: DataFrame, n: int, total) -> list[tuple[int, int]]:
+    """The first (key, mark) of each of at most n ranges of about as many bytes, in order, from rows(key, mark, bytes); the first
+    of all is one. The ranges are made of FINE times as many parts. Percentiles are doubles, so they only part the rows; bounds
+    are least rows of parts."""
+    m = n * FINE
+    cuts = [k / m for k in range(m)]
+    parts = {(k, _LEAST) for k in (_LEAST, *rows.agg(F.percentile_approx("key", cuts, 100 * m)).first()[0])}
+    hot = rows.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") * n > 2 * total.rows)  # n / 2 at most
+    within = rows.join(F.broadcast(hot.select("key")), "key").groupBy("key").agg(F.percentile_approx("mark", cuts, 100 * m).alias("p"))
     parts |= {(r["key"], r["mark"]) for r in within.select("key", F.explode("p").alias("mark")).collect()}
-    firsts = _in_ranges(rows, sorted(parts)).groupBy("bucket").agg(F.min(F.struct("key", "mark")).alias("x"))
-    return sorted((r.x["key"], r.x["mark"]) for r in firsts.collect())
+    firsts = _in_ranges(rows, sorted(parts)).groupBy("bucket").agg(F.min(F.struct("key", "mark")).alias("x"), F.sum("bytes").alias("bytes"))
+    out, held = [], 0
+    for r in sorted(firsts.collect(), key=lambda r: r.bucket):  # a row for each part
+        if not out or held + r["bytes"] / 2 > total.bytes / n:
+            out.append((r.x["key"], r.x["mark"]))
+            held = 0
+        held += r["bytes"]
+    return out
 
 
 def _lone_numbers(spark: SparkSession, n: int) -> list[int]:
