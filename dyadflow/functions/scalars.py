@@ -45,8 +45,10 @@ def rounded(x: Column, digits: int = 6) -> Column:
 
 
 def zscore(x: Column, *by: str) -> Column:
-    """Against the population deviation; null where that is 0."""
-    w = Window.partitionBy(*[F.col(c) for c in by] if by else [F.lit(0)])
+    """Within groups, against the population deviation; null where that is 0. Over all rows see rollup.standardised()."""
+    if not by:
+        raise ValueError("zscore() is for groups")
+    w = Window.partitionBy(*map(F.col, by))
     return (x - F.avg(x).over(w)) / F.nullif(F.stddev_pop(x).over(w), F.lit(0.0))
 
 
@@ -116,8 +118,10 @@ def quadrant(client_effect: Column, therapist_effect: Column) -> Column:
 
 
 def scaled(x: Column, low: float, span: float, *by: str) -> Column:
-    """low + span * x scaled to 0..1; low where all are equal."""
-    w = Window.partitionBy(*[F.col(c) for c in by] if by else [F.lit(0)])
+    """Within groups, low + span * x scaled to 0..1; low where all are equal. Over all rows see rollup.standardised()."""
+    if not by:
+        raise ValueError("scaled() is for groups")
+    w = Window.partitionBy(*map(F.col, by))
     least, most = F.min(x).over(w), F.max(x).over(w)
     return F.lit(low) + F.lit(span) * F.coalesce((x - least) / F.nullif(most - least, F.lit(0.0)), F.lit(0.0))
 

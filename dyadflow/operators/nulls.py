@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 def shuffled(steps: DataFrame, by: tuple[str, ...], draws: int, x: str = "x", at: str = "at", seed: int = 0) -> DataFrame:
     """by, draw (from 0), at and x: each group's symbols in `draws` orders. An order is that of md5 over seed, group, draw and
-    position, so any engine, partitioning or retry gives the same; base rates stay as they are."""
+    position, so any engine, partitioning or retry gives the same; base rates stay as they are. Groups are dealt once; the
+    draws are made behind that, and what goes on by group and draw needs no other exchange."""
     group = F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col("draw").cast("string"), F.col(at).cast("string"))
-    d = steps.select(*by, at, x).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    d = steps.select(*by, at, x).repartition(*by).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     w = Window.partitionBy(*by, "draw")
     place = (F.row_number().over(w.orderBy(F.md5(group.cast("binary")), at)) - 1).cast("long")
     return d.withColumn(at, place + F.min(at).over(w))

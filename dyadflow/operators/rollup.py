@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadflow.operators.sequence import runs, transitions
+from dyadflow.session import cut
 
 
 def weighted_mean(value: Column | str, weight: Column | str, missing: str = "skip", no_weight: str = "null") -> Column:
@@ -41,13 +42,57 @@ def without_outliers(df: DataFrame, columns: Sequence[str], most: float) -> Data
 
 def trimmed(df: DataFrame, columns: Sequence[str], low: float, high: float) -> DataFrame:
     """Rows within the exact quantiles low..high of every column (interpolated)."""
-    q = df.agg(*(F.percentile(c, F.lit(p)).alias(f"{c}_{k}") for c in columns for k, p in enumerate((low, high)))).first()
     for c in columns:
-        if q[f"{c}_0"] is not None:
-            df = df.where(F.col(c).between(q[f"{c}_0"], q[f"{c}_1"]))
+        q = {r.p: r.value for r in quantiles(df, c, (low, high)).collect()}  # two rows
+        if q:
+            df = df.where(F.col(c).between(q[low], q[high]))
     return df
 
 
+def standardised(df: DataFrame, zs: Sequence[str] = (), scales: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """df with {c}_z, against the population deviation of all rows (null where that is 0), and {c}_scaled: low + span * the value
+    scaled to 0..1 (low where all are equal). The moments are one row, which is joined to all."""
+    scales = scales or {}
+    moments = [f(c).alias(f"__{k}_{c}") for c in zs for k, f in (("m", F.avg), ("s", F.stddev_pop))]
+    moments += [f(c).alias(f"__{k}_{c}") for c in scales for k, f in (("lo", F.min), ("hi", F.max))]
+    one = df.agg(*moments).withColumn("__one", F.lit(0))
+    d = df.withColumn("__one", F.lit(0)).join(F.broadcast(one), "__one")
+    d = d.withColumns({f"{c}_z": (F.col(c) - F.col(f"__m_{c}")) / F.nullif(F.col(f"__s_{c}"), F.lit(0.0)) for c in zs})
+    part = lambda c: F.coalesce((F.col(c) - F.col(f"__lo_{c}")) / F.nullif((F.col(f"__hi_{c}") - F.col(f"__lo_{c}")).cast("double"), F.lit(0.0)), F.lit(0.0))
+    d = d.withColumns({f"{c}_scaled": F.lit(low) + F.lit(span) * part(c) for c, (low, span) in scales.items()})
+    return d.select(*df.columns, *(f"{c}_z" for c in zs), *(f"{c}_scaled" for c in scales))
+
+
+#: Groups up to so many have their quantiles by ranges of values; more groups are small enough for one task each.
+FEW_GROUPS = 1000
+
+
+def quantiles(df: DataFrame, x: str, ps: Sequence[float], *by: str) -> DataFrame:
+    """by, p and value: exact quantiles of the values that aren't null, interpolated between neighbours.
+
+    Values are counted and dealt by ranges; a group's rows before each range (a row a range and group) are offsets. So
+    no task holds a group's values, as it would for percentile(); that is used beyond FEW_GROUPS groups."""
+    d = df.where(F.col(x).isNotNull()).select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by)), F.col(x).cast("double").alias("__v"))
+    keys = [f"__g{i}" for i in range(len(by))]
+    named = [F.col(f"__g{i}").alias(c) for i, c in enumerate(by)]
+    if keys and d.select(*keys).distinct().limit(FEW_GROUPS + 1).count() > FEW_GROUPS:
+        q = d.groupBy(*keys).agg(F.percentile("__v", list(ps)).alias("q"))
+        return q.select(*named, F.explode(F.arrays_zip(F.array(*(F.lit(float(p)) for p in ps)).alias("p"), F.col("q").alias("value"))).alias("z")).select(*by, "z.p", "z.value")
+    counts = d.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    counts = cut(counts.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id()))
+    totals = counts.groupBy(*keys, "__part").agg(F.sum("__n").alias("__n"))  # a row for each range, and one more for each group
+    each = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    offsets = totals.withColumns({"__before": F.sum("__n").over(each.orderBy("__part")) - F.col("__n"), "__all": F.sum("__n").over(each)}).drop("__n")
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__part").orderBy("__v"))
+    places = counts.withColumn("__upto", upto).join(F.broadcast(offsets), [*keys, "__part"]).withColumn("__upto", F.col("__upto") + F.col("__before"))
+    asked = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("__all") - 1)).alias("at")) for p in ps)))
+    rows = places.select(*keys, "__v", "__n", "__upto", asked.alias("a"))
+    here = lambda k: (F.col("__upto") - F.col("__n") <= k) & (k < F.col("__upto"))
+    lo, hi = F.floor("a.at"), F.ceil("a.at")
+    found = rows.where(here(lo) | here(hi)).groupBy(*keys, "a.p").agg(F.first("a.at").alias("__at"), F.max(F.when(here(lo), F.col("__v"))).alias("__l"), F.max(F.when(here(hi), F.col("__v"))).alias("__h"))
+    return found.select(*named, "p", (F.col("__l") + (F.col("__at") - F.floor("__at")) * (F.col("__h") - F.col("__l"))).alias("value"))
+
+
 def centred(df: DataFrame, x: str, by: str) -> DataFrame:
     """Adds {x}_mean (of the group), {x}_within and {x}_between."""
     m = F.avg(x).over(Window.partitionBy(by))
@@ -139,7 +184,10 @@ def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, x: str, *by: str) -> DataFrame:
     """by with n, q1, median, q3 and the whiskers: the outermost values within 1.5 interquartile ranges of the box."""
-    q = df.groupBy(*by).agg(F.count(x).alias("n"), *(F.percentile(x, F.lit(p)).alias(k) for k, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    at = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    q = quantiles(df, x, tuple(at.values()), *by).groupBy(*by).agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(k) for k, p in at.items()))
+    q = df.groupBy(*by).agg(F.count(x).alias("n")).join(q, list(by)) if by else q.withColumn("n", F.lit(df.where(F.col(x).isNotNull()).count()))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(q, list(by)).where(F.col(x).between(F.col("q1") - reach, F.col("q3") + reach))
+    joined = df.join(q, list(by)) if by else df.withColumn("__one", F.lit(0)).join(F.broadcast(q.withColumn("__one", F.lit(0))), "__one")
+    inside = joined.where(F.col(x).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(*by, "n", "q1", "median", "q3").agg(F.min(x).alias("whisker_low"), F.max(x).alias("whisker_high"))

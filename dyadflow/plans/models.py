@@ -70,16 +70,16 @@ def hmm_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A distributed fit: the model's parameters in long form."""
-    m, ll = hmm.fit_distributed(sessions(spark, sf_dir), 3, 903_000, n_iter=8)
+    m, ll = hmm.fit_distributed(sessions(spark, sf_dir), 3, 903_000, n_iter=150)
     rows = [("a", i, j, float(m.a[i, j])) for i in range(3) for j in range(3)] + [(n, i, j, float(p[i, j])) for n, p in (("pt", m.pt), ("pc", m.pc)) for i in range(3) for j in range(3)] + [("pi", i, 0, float(m.pi[i])) for i in range(3)] + [("ll", 0, 0, ll)]
     return rounding(spark.createDataFrame(rows, "part string, i int, j int, p double"))
 
 
 @query()
 def hmm_model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two numbers of states, two folds, two restarts: all fits run in parallel."""
-    d = sessions(spark, sf_dir).withColumn("fold", fold_of(F.col("dyad_id"), 2))
-    return rounding(hmm.selection(hmm.fit_tasks(d, hmm.cv_tasks((2, 3), ((1.0, 1.0),), 2, 2), n_iter=6)))
+    """Two and three states, five folds, three restarts of 150 iterations at most: all fits run in parallel."""
+    d = sessions(spark, sf_dir).withColumn("fold", fold_of(F.col("dyad_id"), 5))
+    return rounding(hmm.selection(hmm.fit_tasks(d, hmm.cv_tasks((2, 3), ((1.0, 1.0),), 5, 3), n_iter=150)))
 
 
 _COLS = ("occ_entropy", "trans_entropy", "switching_rate", "mean_dwell", "cv_dwell")

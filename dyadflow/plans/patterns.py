@@ -12,7 +12,8 @@ from dyadflow.plans.registry import query
 from dyadflow.plans.steps import EPISODES, r6, regimes
 
 EP = ("episode",)
-DRAWS, SEED, MIN_DURATION = 4, 7, 15
+#: As many draws as the analyses make.
+RQA_DRAWS, MOTIF_DRAWS, SEED, MIN_DURATION = 100, 200, 7, 15
 
 
 def episode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +92,9 @@ def rqa_by_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(recurrence.recurrence_by_sequence(episode_steps(spark, sf_dir), EP, theiler=2, l_min=3, v_min=3))
 
 
-_SHUFFLED = f"""long_eps AS (SELECT * FROM eps WHERE duration >= {MIN_DURATION}),
-sh AS (SELECT episode, draw, row_number() OVER (PARTITION BY episode, draw ORDER BY md5('{SEED}|' || episode || '|' || draw || '|' || q), q) - 1 AS q, x FROM long_eps, unnest(range({DRAWS})) AS t(draw))"""
+def _shuffled(draws: int) -> str:
+    return f"""long_eps AS (SELECT * FROM eps WHERE duration >= {MIN_DURATION}),
+sh AS (SELECT episode, draw, row_number() OVER (PARTITION BY episode, draw ORDER BY md5('{SEED}|' || episode || '|' || draw || '|' || q), q) - 1 AS q, x FROM long_eps, unnest(range({draws})) AS t(draw))"""
 
 
 def _against(v: str, null: str, name: str) -> str:
@@ -101,21 +103,21 @@ def _against(v: str, null: str, name: str) -> str:
 {r6(f"least(1, 2 * least(1 + count(*) FILTER (WHERE {null} >= {v}), 1 + count(*) FILTER (WHERE {null} <= {v})) / (count(*) + 1))")} AS {name}_p_two_shuffle"""
 
 
-@query(f"""WITH {EPISODES}, {_SHUFFLED}, {_rqa('episode', 'long_eps', 'obs')}, {_rqa('episode, draw', 'sh', 'nul')}
+@query(f"""WITH {EPISODES}, {_shuffled(RQA_DRAWS)}, {_rqa('episode', 'long_eps', 'obs')}, {_rqa('episode, draw', 'sh', 'nul')}
 SELECT o.episode, any_value(o.n) AS n, {", ".join(f"{r6(f'any_value(o.{m})')} AS {m}, {_against(f'round(o.{m}, 9)', f'round(u.{m}, 9)', m)}" for m in ("rr", "det", "lam"))}
 FROM obs AS o JOIN nul AS u USING (episode) GROUP BY o.episode""")
 def rqa_shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = episode_steps(spark, sf_dir).where(F.col("duration") >= MIN_DURATION)
     nine = lambda x: x.withColumns({m: F.round(m, 9) for m in ("rr", "det", "lam")})
     observed = nine(recurrence.recurrence(d, EP))
-    draws = nine(recurrence.recurrence_by_sequence(nulls.shuffled(d, EP, DRAWS, seed=SEED), (*EP, "draw")))
+    draws = nine(recurrence.recurrence_by_sequence(nulls.shuffled(d, EP, RQA_DRAWS, seed=SEED), (*EP, "draw")))
     return _rounded(nulls.compared(observed, draws, EP, ("rr", "det", "lam"), "shuffle"))
 
 
-_NULL_METRICS = ("motif_entropy", "repeat_rate", "motif_transition_diversity")
+_NULL_METRICS = motifs.METRICS
 
 
-@query(f"""WITH {EPISODES}, {_SHUFFLED}, {_ids(2, 'long_eps')}, {_metrics(2)}, shk AS (SELECT episode || '#' || draw AS episode, q, x FROM sh), {_ids(2, 'shk', name='mm')}, {_metrics(2, name='mm', out='nul')}
+@query(f"""WITH {EPISODES}, {_shuffled(MOTIF_DRAWS)}, {_ids(2, 'long_eps')}, {_metrics(2)}, shk AS (SELECT episode || '#' || draw AS episode, q, x FROM sh), {_ids(2, 'shk', name='mm')}, {_metrics(2, name='mm', out='nul')}
 SELECT met.episode, {", ".join(f"{r6(f'any_value(met.{m})')} AS {m}, {_against(f'round(met.{m}, 9)', f'round(nul.{m}, 9)', m)}" for m in _NULL_METRICS)}
 FROM met JOIN nul ON met.episode = split_part(nul.episode, '#', 1) GROUP BY met.episode""")
 def motif_shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +125,7 @@ def motif_shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     nine = lambda x: x.withColumns({m: F.round(m, 9) for m in _NULL_METRICS})
     observed = nine(motifs.motif_metrics(motifs.motif_ids(d, 2, EP), 2, EP)).select("episode", *_NULL_METRICS)
     by = (*EP, "draw")
-    draws = nine(motifs.motif_metrics(motifs.motif_ids(nulls.shuffled(d, EP, DRAWS, seed=SEED), 2, by), 2, by))
+    draws = nine(motifs.motif_metrics(motifs.motif_ids(nulls.shuffled(d, EP, MOTIF_DRAWS, seed=SEED), 2, by), 2, by))
     return _rounded(nulls.compared(observed, draws, EP, _NULL_METRICS, "shuffle"))
 
 
@@ -132,5 +134,5 @@ def motif_markov_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = episode_steps(spark, sf_dir).where(F.col("duration") >= MIN_DURATION)
     observed = motifs.motif_metrics(motifs.motif_ids(d, 2, EP), 2, EP).select("episode", "n_windows", *motifs.METRICS)
     by = (*EP, "draw")
-    draws = motifs.motif_metrics(motifs.motif_ids(nulls.markov_surrogates(d, EP, 20, seed=SEED), 2, by), 2, by)
+    draws = motifs.motif_metrics(motifs.motif_ids(nulls.markov_surrogates(d, EP, MOTIF_DRAWS, seed=SEED), 2, by), 2, by)
     return _rounded(nulls.compared(observed, draws, EP, motifs.METRICS, "markov"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dyadflow.functions.scalars import rounded, scaled, unlike, valence_label, zscore
+from dyadflow.functions.scalars import rounded, unlike, valence_label
 from dyadflow.operators import recurrence, rollup
 from dyadflow.plans.patterns import EP, _rqa, episode_steps
 from dyadflow.plans.registry import query
@@ -38,8 +38,8 @@ def session_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FEATURES} SELECT session_id, {', '.join(f'{r6(f'({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0)')} AS {c}' for c in ('occ_entropy', 'mean_dwell'))}, {r6('80 + 320 * (length - min(length) OVER ()) / nullif(max(length) OVER () - min(length) OVER (), 0)')} AS marker FROM ft")
 def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = features(spark, sf_dir)
-    return rounding(d.select("session_id", zscore(F.col("occ_entropy")).alias("occ_entropy"), zscore(F.col("mean_dwell")).alias("mean_dwell"), scaled(F.col("length"), 80.0, 320.0).alias("marker")))
+    d = rollup.standardised(features(spark, sf_dir), ("occ_entropy", "mean_dwell"), {"length": (80.0, 320.0)})
+    return rounding(d.select("session_id", F.col("occ_entropy_z").alias("occ_entropy"), F.col("mean_dwell_z").alias("mean_dwell"), F.col("length_scaled").alias("marker")))
 
 
 @query(f"""WITH {FEATURES} SELECT session_id, dyad_id, {r6("avg(occ_entropy) OVER w")} AS occ_entropy_mean, {r6("occ_entropy - avg(occ_entropy) OVER w")} AS occ_entropy_within FROM ft WINDOW w AS (PARTITION BY dyad_id)""")
@@ -116,11 +116,15 @@ def transition_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounding(rollup.matrix_power(transition_matrix(spark, sf_dir), 5))
 
 
-@query(f"""WITH {FEATURES}, k AS (SELECT dyad_id FROM ft GROUP BY dyad_id HAVING count(*) >= 2), n AS (SELECT ft.*, row_number() OVER (PARTITION BY dyad_id ORDER BY session_id) AS r FROM ft JOIN k USING (dyad_id))
+#: Sessions of one pair in dyad_pairs_distance: a pair has few, however many pairs there are.
+_PAIR_SESSIONS = 8
+
+
+@query(f"""WITH {FEATURES.replace("ft AS (SELECT occ.*", f"ft AS (SELECT occ.* REPLACE (session_id // {_PAIR_SESSIONS} AS dyad_id)")}, k AS (SELECT dyad_id FROM ft GROUP BY dyad_id HAVING count(*) >= 2), n AS (SELECT ft.*, row_number() OVER (PARTITION BY dyad_id ORDER BY session_id) AS r FROM ft JOIN k USING (dyad_id))
 SELECT a.dyad_id, a.session_id AS a, b.session_id AS b, {r6("sqrt(pow(a.occ_entropy - b.occ_entropy, 2) + pow(a.mean_dwell - b.mean_dwell, 2))")} AS distance FROM n AS a JOIN n AS b ON a.dyad_id = b.dyad_id AND a.r < b.r""")
 def dyad_pairs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a pair's sessions: what is asked for, over the few sessions that one has."""
-    d = features(spark, sf_dir).select("dyad_id", "session_id", "occ_entropy", "mean_dwell")
+    d = features(spark, sf_dir).withColumn("dyad_id", F.floor(F.col("session_id") / _PAIR_SESSIONS)).select("dyad_id", "session_id", "occ_entropy", "mean_dwell")
     d = d.withColumn("k", F.count("*").over(Window.partitionBy("dyad_id"))).where("k >= 2")
     a, b = d.alias("a"), d.alias("b")
     pairs = a.join(b, (F.col("a.dyad_id") == F.col("b.dyad_id")) & (F.col("a.session_id") < F.col("b.session_id")))

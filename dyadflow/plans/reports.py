@@ -67,7 +67,8 @@ SELECT dyad_id, count(gap) AS n, {r6("median(gap)")} AS median_gap, {r6("max(gap
 def step_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("t") - F.lag("t").over(Window.partitionBy("session_id").orderBy("pos"))
     d = steps(spark, sf_dir).withColumn("gap", gap)
-    return rounding(d.groupBy("dyad_id").agg(F.count("gap").alias("n"), F.median("gap").alias("median_gap"), F.max("gap").alias("longest_gap")))
+    median = rollup.quantiles(d, "gap", (0.5,), "dyad_id").select("dyad_id", F.col("value").alias("median_gap"))
+    return rounding(d.groupBy("dyad_id").agg(F.count("gap").alias("n"), F.max("gap").alias("longest_gap")).join(median, "dyad_id", "left"))
 
 
 @query(f"""WITH v AS ({ORACLES["hmm_viterbi"]}), p AS (SELECT session_id, i - 1 AS pos, cast(path[i] AS INT) AS regime FROM v, unnest(range(1, len(path) + 1)) AS t(i))

@@ -61,7 +61,7 @@ def raw_sessions(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 def unknown_codes(df: DataFrame, code: str, known: Mapping[int, int] | DataFrame) -> DataFrame:
     """The codes that the legend lacks, with counts."""
     have = known if isinstance(known, DataFrame) else df.sparkSession.createDataFrame([(int(k),) for k in known], "code int")
-    return df.select(F.col(code).cast("int").alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n")).join(F.broadcast(have.select(F.col("code").cast("int").alias("code"))), "code", "left_anti")
+    return df.select(F.col(code).cast("int").alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n")).join(have.select(F.col("code").cast("int").alias("code")), "code", "left_anti")
 
 
 def valences(raw: DataFrame, known: Mapping[int, int], strict: bool = True) -> DataFrame:
@@ -81,7 +81,7 @@ def valences(raw: DataFrame, known: Mapping[int, int], strict: bool = True) -> D
 def therapist_groups(sessions: DataFrame, therapists: DataFrame, video: str) -> DataFrame:
     """Adds therapist: THER_<code> of the video, or UNMAPPED_<dyad>. Of repeated videos the last code in order counts."""
     known = first_of(resolved(therapists, "video_code", "therapist_code").withColumn("__r", F.monotonically_increasing_id()), ["video_code"], [F.desc("__r")]).drop("__r")
-    joined = sessions.join(F.broadcast(known), sessions[video] == known["video_code"], "left")  # a row for each therapist's video
+    joined = sessions.join(known, sessions[video] == known["video_code"], "left")
     return joined.withColumn("therapist", F.coalesce(F.concat(F.lit("THER_"), "therapist_code"), F.concat(F.lit("UNMAPPED_"), F.col("dyad_id").cast("string")))).drop("video_code", "therapist_code")
 
 
