@@ -1,4 +1,4 @@
-"""Command line: python -m dyadflow.cli {ingest,coupling,hmm,recurrence,motifs,all} --config FILE [--set name=value ...]
+"""Command line: python -m dyadflow.cli {ingest,coupling,hmm,recurrence,motifs,tables,survey,all} --config FILE [--set name=value ...]
 
 `all` runs the steps after each other that the settings' run_* switches leave on, after ingest where --ingest_config names
 its settings.
@@ -9,14 +9,16 @@ from __future__ import annotations
 import argparse
 import ast
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadflow.functions.scalars import joint, window_id
-from dyadflow.operators import hmm, markov, motifs, nulls, recurrence
+from dyadflow.functions.scalars import N_VALENCE, joint, unlike, valence_label, window_id
+from dyadflow.operators import analysis, hmm, markov, motifs, nulls, pca, recurrence, rollup, stats
 from dyadflow.operators import sequence as S
 from dyadflow.operators.folds import balanced_folds
+from dyadflow.session import cut
 from dyadflow.sources import sinks, tables
 from dyadflow.sources.config import Analysis, Ingest, load
 
@@ -186,6 +188,83 @@ def run_motifs(spark: SparkSession, c: Analysis) -> DataFrame:
     return out
 
 
+def class_tests(d: DataFrame, metrics: Sequence[str], group: str) -> tuple[DataFrame, DataFrame]:
+    """Kruskal-Wallis of each metric over the classes, and Dunn's pairs."""
+    kw = pairs = None
+    for m in metrics:
+        one = stats.kruskal_wallis(d, m, group).withColumn("metric", F.lit(m))
+        two = stats.dunn(d, m, group).withColumn("metric", F.lit(m))
+        kw, pairs = (one, two) if kw is None else (kw.unionByName(one), pairs.unionByName(two))
+    return kw, pairs
+
+
+def run_tables(spark: SparkSession, c: Analysis) -> list[str]:
+    """The supplementary tables from the stored results, as CSV under out_dir/tables: S1 the model's regimes, S2 recurrence, S3
+    motifs, S4 sessions' geometry. Results that aren't there leave theirs out; returns the names of those written."""
+    k, folder = c.hmm_k, f"{c.out_dir}/tables"
+    read = lambda name: spark.read.parquet(f"{c.out_dir}/{name}/K={k}") if sinks.exists(spark, f"{c.out_dir}/{name}/K={k}") else None
+    out: dict[str, DataFrame | None] = {}
+    best, decoded = read("best_model"), read("decoded_sessions")
+    if best is not None:
+        matrix = best.select(F.posexplode("a").alias("i", "row")).select("i", F.posexplode("row").alias("j", "p"))
+        emissions = best.select(F.posexplode(F.arrays_zip("pt", "pc")).alias("state", "e")).select("state", F.col("e.pt").alias("pt"), F.col("e.pc").alias("pc")).withColumn("base", valence_label(F.col("pt"), F.col("pc")))
+        places = [F.col(e)[v].alias(f"{n}_{v}") for e, n in (("pt", "therapist"), ("pc", "client")) for v in range(N_VALENCE)]
+        out["S1_regime_emissions"] = emissions.select("state", unlike("base", ["state"]).alias("label"), *places)
+        out["S1_transitions"] = matrix
+        out["S1_regime_dynamics"] = rollup.regime_dynamics(matrix)
+    if decoded is not None:
+        e = S.episodes(hmm.paths_long(decoded, "session_id"), 1)
+        out["S1_dwell_summary"] = e.groupBy("regime").agg(F.count("*").alias("n_episodes"), F.avg("duration").alias("mean"), F.median("duration").alias("median"), F.stddev_samp("duration").alias("sd"))
+        out["S1_dwell_kruskal"], out["S1_dwell_dunn"] = class_tests(e, ["duration"], "regime")
+        path = hmm.paths_long(decoded, "session_id")
+        f = rollup.session_features(path, "regime", k, ("session_id",))
+        out["S4_session_features"] = f
+        out["S4_session_pca"] = pca.scores(f, pca.fit(f, GEOMETRY, 2)).select("session_id", "pc1", "pc2") if f.count() >= 3 else None
+    for name, prefix, metrics, group in (("catrqa_episode_results", "S2_catrqa", ("rr_z_shuffle", "det_z_shuffle", "lam_z_shuffle"), ["regime"]), ("grammar_episode_results", "S3_grammar", tuple(f"{m}_z_shuffle" for m in motifs.METRICS), ["regime", "k"])):
+        d = read(name)
+        if d is None:
+            continue
+        gone = F.lit(False)
+        for m in metrics:
+            gone = gone | F.coalesce(F.abs(F.col(m)) > c.outlier_z, F.lit(False))
+        out[f"{prefix}_outlier_rows"] = d.where(gone)
+        clean = rollup.without_outliers(d, metrics, c.outlier_z).na.drop(how="all", subset=list(metrics))
+        dyads = analysis.class_rollup(clean, metrics, group).persist()
+        out[f"{prefix}_by_dyad"] = dyads
+        out[f"{prefix}_regime_means"] = dyads.groupBy(*group).agg(*(F.avg(m).alias(m) for m in metrics), F.count("*").alias("n_dyads"))
+        out[f"{prefix}_kruskal"], out[f"{prefix}_dunn"] = class_tests(dyads, metrics, "regime")
+        if prefix == "S2_catrqa" and "S4_session_features" in out:
+            out["S4_features_and_recurrence"] = out["S4_session_features"].join(analysis.by_session(clean, metrics), "session_id")
+    return sinks.write_tables(out, folder)
+
+
+#: What the sessions' geometry is made of.
+GEOMETRY = ("switching_rate", "mean_dwell", "cv_dwell", "trans_entropy", "occ_entropy")
+
+
+def run_survey(spark: SparkSession, c: Analysis) -> list[str]:
+    """The session table and the models of the survey's measures on it, as CSV under out_dir/survey."""
+    s = analysis.survey_rows(tables.survey(spark, c.survey), c.survey_code, [*c.survey_primary, *c.survey_subscales], c.survey_client or None, c.survey_therapist or None)
+    decoded = spark.read.parquet(f"{c.out_dir}/decoded_sessions/K={c.hmm_k}")
+    f = rollup.session_features(hmm.paths_long(decoded, "session_id"), "regime", c.hmm_k, ("session_id",)).select("session_id", *GEOMETRY)
+    wide = hmm.occupancy_wide(decoded, c.hmm_k, "session_id", "dyad_id")
+    read = lambda name: spark.read.parquet(f"{c.out_dir}/{name}")
+    d = analysis.session_table(read("coupling_results"), read("directionality_results"), wide, f, s, F.upper(F.col("session_id")))
+    d = cut(pca.scores(d, pca.fit(d, GEOMETRY, 2)))
+    outcomes = {"coupling": ["delta_ll", "delta_t", "delta_c"], "volatility": ["pc1", "pc2", *GEOMETRY], "occupancy": analysis.numbered(d.columns, "p_")}
+    primary = [*c.survey_primary, *(["difference"] if "difference" in d.columns else [])]
+    blocks = analysis.model_blocks(outcomes, primary, c.survey_subscales, {"coupling": ["n_transitions"], "volatility": ["n_steps"], "occupancy": ["n_steps"]})
+    out: dict[str, DataFrame | None] = {"session_table": d}
+    for b in blocks:
+        out[f"models_{b['block']}"] = analysis.run_blocks(d, [b], "dyad_id")
+    every = analysis.run_blocks(d, [b for b in blocks if b["block"].endswith("primary")], "dyad_id")
+    if every is not None:
+        out["summary_primary"] = analysis.focus_summary(every, ("delta_ll", "pc1", "pc2"), primary)
+    out["models_coefficients"] = analysis.coefficient_models(d, primary, ("pc1", "pc2"), "dyad_id")
+    out["correlations"] = analysis.correlation_matrix(d, primary, ["delta_ll", "pc1", "pc2", *GEOMETRY])
+    return sinks.write_tables(out, f"{c.out_dir}/survey")
+
+
 def run_all(spark: SparkSession, c: Analysis, before: Ingest | None = None, resume: bool = True, clean: bool = False) -> None:
     """Every step that the settings leave on, in order."""
     if before is not None:
@@ -198,11 +277,14 @@ def run_all(spark: SparkSession, c: Analysis, before: Ingest | None = None, resu
         run_recurrence(spark, c)
     if c.run_motifs:
         run_motifs(spark, c)
+    run_tables(spark, c)
+    if c.survey:
+        run_survey(spark, c)
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("step", choices=["ingest", "coupling", "hmm", "recurrence", "motifs", "all"])
+    p.add_argument("step", choices=["ingest", "coupling", "hmm", "recurrence", "motifs", "tables", "survey", "all"])
     p.add_argument("--config")
     p.add_argument("--ingest_config")
     p.add_argument("--set", action="append", default=[], metavar="name=value")
@@ -228,7 +310,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.step == "hmm":
         fit_hmm(spark, c, not a.no_resume, a.refit_only_k)
     else:
-        {"coupling": coupling, "recurrence": run_recurrence, "motifs": run_motifs}[a.step](spark, c)
+        {"coupling": coupling, "recurrence": run_recurrence, "motifs": run_motifs, "tables": run_tables, "survey": run_survey}[a.step](spark, c)
 
 
 if __name__ == "__main__":

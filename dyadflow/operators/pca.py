@@ -27,7 +27,7 @@ def fit(df: DataFrame, columns: Sequence[str], k: int) -> dict:
     order = np.argsort(-values)[:k]
     loadings = vectors[:, order].T
     loadings *= np.sign(loadings[np.arange(len(loadings)), np.abs(loadings).argmax(1)])[:, None]
-    return {"columns": list(columns), "mean": [r[f"m{i}"] for i in range(p)], "sd": sd.tolist(), "loadings": loadings, "explained": (values[order] / values.sum()).tolist()}
+    return {"columns": list(columns), "mean": [r[f"m{i}"] for i in range(p)], "sd": sd.tolist(), "loadings": loadings, "explained": (values[order] / (values.sum() or 1.0)).tolist()}
 
 
 def scores(df: DataFrame, model: dict, prefix: str = "pc") -> DataFrame:

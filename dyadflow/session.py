@@ -35,12 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests, the bench) gets
+    one of our own; on a cluster that is an error, as its machines don't share a temporary folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="dyadflow-"))
             current = sc._jsc.sc().getCheckpointDir()
         return current.get()

@@ -65,7 +65,13 @@ class Analysis:
     min_null_windows: int = 15
     min_null_duration: int = 30
     seed: int = 0
-
+    outlier_z: float = 20.0
+    survey: str = ""
+    survey_code: str = "Session Code"
+    survey_primary: list[str] = field(default_factory=list)
+    survey_subscales: list[str] = field(default_factory=list)
+    survey_client: str = ""
+    survey_therapist: str = ""
 
     def __post_init__(self) -> None:
         if self.selection_metric != "ll_per_step":

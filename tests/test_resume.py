@@ -94,3 +94,23 @@ def test_artifacts(spark, tmp_path):
     (tmp_path / "f.txt").write_text("x")
     r = sinks.file_sha256(spark, f"{tmp_path}/f.txt").first()
     assert r.sha256 == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881" and r.file.endswith("f.txt")
+
+
+def test_tables_and_survey(spark, stored, tmp_path):
+    d = spark.read.parquet(stored.steps)
+    ids = d.select("*").selectExpr("concat(lpad(cast(int(substr(session_id, 2)) div 2 as string), 3, '0'), if(int(substr(session_id, 2)) % 2 = 0, '_A', '_B')) AS session_id", "lpad(cast(int(substr(session_id, 2)) div 2 as string), 3, '0') AS dyad_id", "pos", "t", "th", "cl")
+    stored.steps = f"{tmp_path}/named"
+    ids.write.parquet(stored.steps)
+    stored.n_min, stored.n_null, stored.min_null_windows, stored.min_null_duration, stored.ks = 2, 4, 2, 3, [2]
+    cells = "".join(f"{k // 2}{'ab'[k % 2]},{k * 1.5},{'#VALUE!' if k == 3 else 10 - k},{k % 3}\n" for k in range(8))
+    (tmp_path / "survey.csv").write_text("Session Code,client total,therapist total,other\n" + cells + ",1,1,1\nnone,2,2,2\n")
+    stored.survey, stored.survey_client, stored.survey_therapist = f"{tmp_path}/survey.csv", "client total", "therapist total"
+    stored.survey_primary, stored.survey_subscales = ["other"], ["client total"]
+    cli.run_all(spark, stored)
+    names = {p.name for p in (tmp_path / "res/tables").iterdir()}
+    assert {"S1_regime_emissions", "S1_regime_dynamics", "S1_dwell_summary", "S2_catrqa_by_dyad", "S2_catrqa_kruskal", "S3_grammar_regime_means", "S4_session_features", "S4_features_and_recurrence"} <= names
+    one = spark.read.csv(f"{stored.out_dir}/survey/session_table", header=True, inferSchema=True).collect()
+    assert len(one) == 8 and {r.session_id: r.difference for r in one if r.difference is not None} == {f"{k // 2:03d}_{'AB'[k % 2]}": k * 1.5 - (10 - k) for k in range(8) if k != 3}
+    models = spark.read.csv(f"{stored.out_dir}/survey/models_volatility_exploratory", header=True, inferSchema=True)
+    assert models.where("term = predictor and q is null").count() == 0
+    assert spark.read.csv(f"{stored.out_dir}/survey/summary_primary", header=True).count() == 6
