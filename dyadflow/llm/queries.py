@@ -21,5 +21,6 @@ ORACLES = {
     "op2_line_dedup": lines.OP2_SQL,
     "op3_ngram_jaccard": near.OP3_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
+    "op5_sharding": shards.OP5_SQL,
     "op10_chat": chat.OP10_SQL,
 }

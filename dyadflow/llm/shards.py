@@ -66,3 +66,17 @@ def shard_bytes(docs: DataFrame, n_shards: int = N_SHARDS, text: str = "text", d
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_bytes(table(spark, sf_dir, "documents"))
+
+
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+#: DuckDB has no crc32: a table of 256 steps, and a fold over each text's bytes.
+OP5_SQL = f"""
+WITH RECURSIVE t0(i, k, c) AS (SELECT i, 0, i FROM unnest(range(256)) AS u(i) UNION ALL SELECT i, k + 1, {_CRC_STEP} FROM t0 WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM t0 WHERE k = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 + 1 AS size, list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS bytes FROM d),
+r AS MATERIALIZED (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+s AS (SELECT *, 2 * sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS middle, sum(size) OVER () AS total FROM r),
+p AS (SELECT *, cast(least({N_SHARDS - 1}, middle * {N_SHARDS} // (2 * total)) AS INT) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, cast(NULL AS INT) AS grown_shard FROM p
+"""
