@@ -131,7 +131,9 @@ def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER, part_toke
     0, 1, ... of at most part_tokens tokens, in order within a partition.
 
     Turns follow by turn (null first), then role and ids where turns repeat. Null roles and texts are empty; a null
-    conv_id is a conversation. Every role is kept: unknown ones are spelled out. Columns of other names aren't read.
+    conv_id is a conversation. Every role is kept: unknown ones are spelled out. A turn of any length is one row, cut over
+    parts; a conversation's turns, of any number, go through one task in order. Columns of other names aren't read. An
+    empty table gives no parts.
     """
     rows = encode_turns(turns, tokenizer)
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")

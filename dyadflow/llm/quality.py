@@ -173,7 +173,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     Labels of rows whose crc32(doc_id as text) mod `folds` is `held` aren't looked at. Null and empty texts are scored
     as texts with all statistics zero. Repeated rows get the same score; a null id is in no fold. Labels for unknown ids
     and null labels don't count; with fewer than two labelled rows of either class each score is the smoothed share of
-    label 1. Columns of other names aren't read, and an empty table gives no rows.
+    label 1. A row counts once in the fit for each label of its id, so repeated or contradictory labels weigh so often. Texts
+    of any length count whole. Columns of other names aren't read, and an empty table gives no rows.
     """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     stats = cut(with_statistics(docs))
