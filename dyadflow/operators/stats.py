@@ -60,17 +60,22 @@ def _named(f, n: int):
     return g
 
 
-def _tie_term(ranked: DataFrame) -> tuple[int, float]:
-    """The number of rows, and the sum of t^3 - t over values."""
-    r = ranked.agg(F.count("*").alias("n"), F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("t")).first()
-    return r.n, r.t or 0.0
+def _ties() -> Column:
+    """Of t rows with one value each adds t^2 - 1, so that the value's t^3 - t add up."""
+    return F.sum(F.col("ties").cast("double") * F.col("ties") - 1)
+
+
+def _rank_sums(df: DataFrame, x: str, group: str) -> tuple[DataFrame, int, float]:
+    """group, r (the sum of ranks) and k, from one pass over the ranked rows; the number of rows; the sum of t^3 - t over values."""
+    ranked = average_ranks(df.where(F.col(group).isNotNull()), x)
+    g = cut(ranked.groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("k"), _ties().alias("t")))
+    total = g.agg(F.sum("k").alias("n"), F.sum("t").alias("t")).first()
+    return g.drop("t"), total.n or 0, total.t or 0.0
 
 
 def kruskal_wallis(df: DataFrame, x: str, group: str) -> DataFrame:
     """h (corrected for ties), p and n_groups; null where all values are equal."""
-    ranked = average_ranks(df.where(F.col(group).isNotNull()), x)
-    n, t = _tie_term(ranked)
-    g = ranked.groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("k"))
+    g, n, t = _rank_sums(df, x, group)
     correction = 1 - t / (n**3 - n) if n > 1 else 0.0
     h = (F.lit(12.0 / (n * (n + 1)) if n else 0.0) * F.sum(F.col("r") ** 2 / F.col("k")) - 3 * (n + 1)) / F.nullif(F.lit(correction), F.lit(0.0))
     out = g.agg(h.alias("h"), F.count("*").alias("n_groups")).withColumn("df", F.col("n_groups") - 1)
@@ -79,15 +84,14 @@ def kruskal_wallis(df: DataFrame, x: str, group: str) -> DataFrame:
 
 def dunn(df: DataFrame, x: str, group: str) -> DataFrame:
     """a, b (groups, a before b), z and p (two-sided, times the number of pairs, 1 at most)."""
-    ranked = average_ranks(df.where(F.col(group).isNotNull()), x)
-    n, t = _tie_term(ranked)
-    g = ranked.groupBy(group).agg(F.avg("rank").alias("m"), F.count("*").alias("k"))
+    g, n, t = _rank_sums(df, x, group)
+    g = g.withColumn("m", F.col("r") / F.col("k"))
     a = g.select(F.col(group).alias("a"), F.col("m").alias("ma"), F.col("k").alias("ka"))
     b = g.select(F.col(group).alias("b"), F.col("m").alias("mb"), F.col("k").alias("kb"))
     spread = n * (n + 1) / 12 - t / (12 * (n - 1)) if n > 1 else 0.0
     pairs = a.join(b, F.col("a") < F.col("b"))
     out = pairs.select("a", "b", ((F.col("ma") - F.col("mb")) / F.sqrt(F.nullif(F.lit(spread), F.lit(0.0)) * (1 / F.col("ka") + 1 / F.col("kb")))).alias("z"))
-    m = out.count()
+    m = g.count() * (g.count() - 1) // 2
     return with_tail(out, "p", lambda z: min(1.0, 2 * tails.normal_sf(abs(z)) * m), "z")
 
 
@@ -95,11 +99,10 @@ def mann_whitney(df: DataFrame, x: str, first: Column) -> DataFrame:
     """u of the rows where `first` holds, rank-biserial 1 - 2u / (n1 n2), and p that they are smaller (normal, corrected for
     ties and continuity)."""
     ranked = average_ranks(df.withColumn("__first", first), x)
-    n, t = _tie_term(ranked)
-    g = ranked.agg(F.sum(F.when(F.col("__first"), F.col("rank"))).alias("r"), F.sum(F.col("__first").cast("long")).alias("n1"), F.sum((~F.col("__first")).cast("long")).alias("n2"))
-    g = g.withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2)
-    pairs = F.col("n1") * F.col("n2")
-    spread = F.sqrt(pairs / 12.0 * (F.lit(n + 1.0) - F.lit(t / (n * (n - 1)) if n > 1 else 0.0)))
+    sums = (F.sum(F.when(F.col("__first"), F.col("rank"))).alias("r"), F.sum(F.col("__first").cast("long")).alias("n1"), F.sum((~F.col("__first")).cast("long")).alias("n2"))
+    g = ranked.agg(*sums, F.count("*").alias("n"), _ties().alias("t")).withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2)
+    pairs, n = F.col("n1") * F.col("n2"), F.col("n")
+    spread = F.sqrt(pairs / 12.0 * (n + 1.0 - F.coalesce(F.col("t") / F.nullif(n * (n - 1), F.lit(0)), F.lit(0.0))))
     out = g.select("u", "n1", "n2", (1 - 2 * F.col("u") / F.nullif(pairs, F.lit(0))).alias("rank_biserial"), ((F.col("u") - pairs / 2 + 0.5) / F.nullif(spread, F.lit(0.0))).alias("z"))
     return with_tail(out, "p_less", lambda z: tails.normal_sf(-z), "z").drop("z")
 
@@ -108,16 +111,15 @@ def wilcoxon(df: DataFrame, x: str) -> DataFrame:
     """w (positive ranks; zeros are left out), n and p that values are positive: exact up to 25 without ties, else normal."""
     d = df.where((F.col(x) != 0) & F.col(x).isNotNull()).withColumn("__abs", F.abs(x))
     ranked = average_ranks(d, "__abs")
-    n, t = _tie_term(ranked)
-    out = ranked.agg(F.coalesce(F.sum(F.when(F.col(x) > 0, F.col("rank"))), F.lit(0.0)).alias("w"), F.count("*").alias("n"))
+    out = ranked.agg(F.coalesce(F.sum(F.when(F.col(x) > 0, F.col("rank"))), F.lit(0.0)).alias("w"), F.count("*").alias("n"), F.coalesce(_ties(), F.lit(0.0)).alias("__t"))
 
-    def p(w: float, k: float) -> float:
-        if n <= 25 and not t:
+    def p(w: float, k: float, t: float) -> float:
+        if k <= 25 and not t:
             return tails.signed_rank_sf(w, int(k))
-        spread = (n * (n + 1) * (2 * n + 1) / 24 - t / 48) ** 0.5
-        return tails.normal_sf((w - n * (n + 1) / 4) / spread) if spread else 1.0
+        spread = (k * (k + 1) * (2 * k + 1) / 24 - t / 48) ** 0.5
+        return tails.normal_sf((w - k * (k + 1) / 4) / spread) if spread else 1.0
 
-    return with_tail(out, "p_greater", p, "w", "n")
+    return with_tail(out, "p_greater", p, "w", "n", "__t").drop("__t")
 
 
 def sign_test(df: DataFrame, x: str) -> DataFrame:
