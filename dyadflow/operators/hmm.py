@@ -314,7 +314,7 @@ def selection(fits: DataFrame) -> DataFrame:
     by rank, ties to the smaller k and priors."""
     from pyspark.sql import Window
 
-    v = F.col("test_ll") / F.col("test_steps")
+    v = F.col("test_ll") / F.nullif(F.col("test_steps"), F.lit(0))  # a fold without test steps has none
     d = best_restarts(fits.where("stage = 'cv'")).groupBy("k", "alpha_trans", "alpha_emit").agg(F.avg(v).alias("mean_ll_per_step"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("sem"), F.count(v).alias("folds"))
     return d.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_ll_per_step"), "k", "alpha_trans", "alpha_emit")))
 
