@@ -127,6 +127,13 @@ class Common:
         return rare, s[near][order][: p - len(rare)]
 
 
+def with_element(cells: DataFrame, elements: DataFrame) -> DataFrame:
+    """cells joined with a row an element: those are counted, and up to BROADCAST_IDS broadcast, so that a hot element's cells
+    stay where they are; beyond that Spark's skew handling splits them."""
+    elements = cut(elements)
+    return cells.join(F.broadcast(elements) if elements.count() <= BROADCAST_IDS else elements, "element")
+
+
 def _node(s: np.ndarray, salt: int) -> tuple[int, int]:
     """Two hashes of a set as signed longs."""
     x = mix(s + np.uint64(salt))
@@ -376,7 +383,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     packed = texts.mapInArrow(_packed_cells(percent, width, salt, common, buckets), "bucket int, common boolean, pairs binary")
     cells = kept(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_cells, "element long, node long"))
     same = cells.groupBy("element").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"), F.count("*").alias("k"))
-    cells = kept(cells.join(same.where("k > 1").groupBy("x", "y", "k").agg(F.min("element").alias("element")).select("element"), "element"))
+    cells = kept(with_element(cells, same.where("k > 1").groupBy("x", "y", "k").agg(F.min("element").alias("element")).select("element")))
     members = cells.select("node").distinct()
     nodes = kept(info.where("n > 0").join(members, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("few").alias("few")))
 
@@ -398,15 +405,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
 
     # Collapse.
     first = cells.groupBy("element").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("element", "a")
-    held = cells.join(first, "element").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("k"))
+    held = with_element(cells, first).where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("k"))
     best = held.groupBy("b").agg(F.max(F.struct("k", "a")).alias("m")).select("m.a", "b")
     links = verified(_bounded(best, nodes, percent, "few"))
     classes = components(links)
 
     # Join.
-    sizes = cells.groupBy("element").agg(F.count("*").alias("size"))
+    sizes = cut(cells.groupBy("element").agg(F.count("*").alias("size")))
     largest = F.slice(F.sort_array(F.collect_list(F.struct("size", "element")), asc=False), 1, HOMES)
-    homes = cells.join(sizes, "element").groupBy("node").agg(F.transform(largest, lambda x: x["element"]).alias("homes"))
+    homes = with_element(cells, sizes).groupBy("node").agg(F.transform(largest, lambda x: x["element"]).alias("homes"))
     described = cut(nodes.select("node", "n", F.col("few").alias("counts")).join(homes, "node"))
     band = F.floor(F.log("n") / F.lit(1.001 * math.log(100 / percent))).cast("int")  # sizes that can link are one band apart at most
     for best in (True, False):
@@ -419,7 +426,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
         by_home = F.coalesce(F.col("home.k") > F.col("class.k"), F.lit(False))
         mixed = mixed.where("home is null or home.k < size").where(F.col("size") >= (CROWD if best else 0))
         mixed = mixed.select("element", by_home.alias("by_home"), F.col("class.comp").alias("the_class"), F.col("home.home").alias("the_home"))
-        left = cut(held.join(mixed, "element"))
+        left = cut(with_element(held, mixed))
         asks = F.when(F.col("by_home"), ~F.col("home").eqNullSafe(F.col("the_home"))).otherwise(F.col("comp") != F.col("the_class"))
         queries = left.where(asks).select("element", "node", "comp", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
         # Ids alone move until it is known which rows have a row of another class to meet.
