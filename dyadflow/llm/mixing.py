@@ -135,14 +135,14 @@ def _off(goal: Column, got: Column) -> Column:
 def _raked_in_a_row(cells: DataFrame, sweeps: int, tolerance: float) -> DataFrame:
     """cells with q, by sweeps over arrays in one row: BROADCAST_CELLS cells at most."""
     number = cells.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*MARGINS)) - 1)
-    row = number.groupBy().agg(F.array_sort(F.collect_list(F.struct("i", *cells.columns))).alias("c")).withColumn("k", F.lit(0))
+    row = number.groupBy().agg(F.array_sort(F.collect_list(F.struct("i", *cells.columns))).alias("c"))
     for m in MARGINS:
         groups = number.groupBy(m).agg(F.first(f"goal_{m}").alias("goal"), F.collect_list("i").alias("at"))
         groups = groups.withColumn("g", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(m)) - 1)
         of = groups.select(F.explode("at").alias("i"), "g").groupBy().agg(F.array_sort(F.collect_list(F.struct("i", "g"))).alias(f"of_{m}"))
         groups = groups.groupBy().agg(F.array_sort(F.collect_list(F.struct("g", "goal", "at"))).alias(f"groups_{m}"))
-        for one in (of, groups):
-            row = row.join(one.withColumn("k", F.lit(0)), "k")
+        row = row.unionByName(of, allowMissingColumns=True).unionByName(groups, allowMissingColumns=True)
+    row = row.agg(*(F.first(c, True).alias(c) for c in row.columns))  # each has a value in one row
     row = row.select("c", F.transform("c", lambda x: x["total"]).alias("t"), *(F.transform(f"of_{m}", lambda x: x["g"]).alias(f"of_{m}") for m in MARGINS), *(f"groups_{m}" for m in MARGINS))
     row = cut(row)
     t, zero = F.col("t"), F.lit(0.0)
