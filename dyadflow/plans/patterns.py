@@ -122,11 +122,7 @@ SELECT met.episode, {", ".join(f"{r6(f'any_value(met.{m})')} AS {m}, {_against(f
 FROM met JOIN nul ON met.episode = split_part(nul.episode, '#', 1) GROUP BY met.episode""")
 def motif_shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = episode_steps(spark, sf_dir).where(F.col("duration") >= MIN_DURATION)
-    nine = lambda x: x.withColumns({m: F.round(m, 9) for m in _NULL_METRICS})
-    observed = nine(motifs.motif_metrics(motifs.motif_ids(d, 2, EP), 2, EP)).select("episode", *_NULL_METRICS)
-    by = (*EP, "draw")
-    draws = nine(motifs.motif_metrics(motifs.motif_ids(nulls.shuffled(d, EP, MOTIF_DRAWS, seed=SEED), 2, by), 2, by))
-    return _rounded(nulls.compared(observed, draws, EP, _NULL_METRICS, "shuffle"))
+    return _rounded(nulls.motifs_against_shuffles(d, EP, 2, MOTIF_DRAWS, seed=SEED).where("motif_entropy_p_hi_shuffle is not null"))
 
 
 @query()
